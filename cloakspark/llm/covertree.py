@@ -113,6 +113,11 @@ def embedding_links(spark: SparkSession, vectors: DataFrame, threshold: float =
     placed = v if not tops else v.mapInPandas(place, f"label {kind}, x array<double>, rep long, n long, dim int, cell int, far double")
     if not tops:
         placed = v.withColumn("cell", F.lit(0)).withColumn("far", F.lit(0.0))
+    if len(tops) == LABELS:  # further large labels are one cell each, cut into blocks by hash
+        m = v.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        placed = placed.join(m, ["label", "dim"])
+    else:
+        placed = placed.withColumn("blocks", F.lit(1))
     sizes = {}
     for r in placed.where(F.col("label").isin([k for k, _ in tops])).groupBy("label", "dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect() if tops else []:
         sizes[r["label"], r["dim"], r["cell"]] = (-(-r["n"] // block), r["r"])  # LABELS * TOPS rows at most
@@ -126,7 +131,11 @@ def embedding_links(spark: SparkSession, vectors: DataFrame, threshold: float =
                 key = (label, dim)
                 h = (part.rep.to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
                 if key not in tops:
-                    out.append(part.assign(c1=0, s1=0, c2=0, s2=0, own=True))
+                    k = int(part.blocks.iloc[0])
+                    s = h % k
+                    for t in range(k):
+                        out.append(part[s <= t].assign(c1=0, s1=s[s <= t], c2=0, s2=t, own=True))
+                        out.append(part[s > t].assign(c1=0, s1=t, c2=0, s2=s[s > t], own=False))
                     continue
                 y = np.stack(part.x.to_numpy())
                 y = y / np.linalg.norm(y, axis=1)[:, None]

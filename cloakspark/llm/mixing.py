@@ -76,7 +76,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1
     A null source is a source of its own, last in order. An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("row_hash"))
+    sized = docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("row_hash"))
     sized = write_table(spark, sized, "sizes")
     goal = write_table(spark, targets(sized, weights, share, cap), "targets")
     queue = running_sums(spark, sized, ["source"], ["row_hash", "doc_id"], "size", "queue")
@@ -101,3 +101,15 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1
     for k in range(1, cap):
         times = times + took(k)
     return queue.select("doc_id", "row_hash", "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+
+
+def take_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` as often as ``mix`` takes them, with their own columns only.
+
+    Texts without words take nothing of the budget and stay once each.
+    """
+    from_mix = mix(spark, docs, weights, share, cap, seed).where("size > 0").groupBy(F.col("doc_id").alias("_cs_id"), F.col("row_hash").alias("_cs_hash")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_cs_times"))
+    rows = docs.withColumn("_cs_row", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_cs_id")) & (F.col("_cs_row") == F.col("_cs_hash"))
+    rows = rows.join(from_mix, on, "left").withColumn("_cs_turn", F.explode(F.array_repeat(F.lit(0), F.coalesce("_cs_times", F.lit(1)))))
+    return rows.select(*docs.columns)

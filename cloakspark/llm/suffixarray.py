@@ -87,13 +87,17 @@ def refine(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
     """Kasai's common prefixes of neighbours in ``order`` (suffix starts), up to ``most``; the first has 0.
 
-    All runs of consecutive starts advance in step: a suffix keeps what its predecessor in the text shared, less one.
+    All runs of consecutive starts advance in step: a suffix keeps what its predecessor in the text shared, less one, if
+    the place that predecessor shared with moves on to one before it in ``order``, which ends of texts and ties prevent.
     """
     n = len(order)
     out = np.zeros(n, np.int64)
     place = np.argsort(order)
     here = order[place]
     before = np.where(place > 0, order[place - 1], -1)
+    follower = np.concatenate(([-1], before[:-1] + 1))
+    at = np.minimum(np.searchsorted(here, follower), n - 1)
+    kept = (here[at] == follower) & (place[at] < place) if n else np.zeros(0, bool)
     begin = np.flatnonzero(np.concatenate(([True], np.diff(here) != 1)))
     size = np.diff(np.concatenate((begin, [n])))
     keep = np.zeros(len(begin), np.int64)
@@ -102,7 +106,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         live = np.flatnonzero(size > t)
         i = begin[live] + t
         a, b = here[i], before[i]
-        h = np.where(b < 0, 0, np.maximum(keep[live] - 1, 0))
+        h = np.where((b >= 0) & kept[i], np.maximum(keep[live] - 1, 0), 0)
         grow = np.flatnonzero((b >= 0) & (h < most))
         while len(grow):
             same = padded[a[grow] + h[grow]] == padded[b[grow] + h[grow]]
@@ -202,7 +206,7 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "seg", "n", "key", "p1", "k", "piece"])
 
     named = "anchor long, seg long, n long, key long, p1 int, k int, piece binary"
-    pieces = keyed.select("key", "text").join(cut, "key").mapInArrow(slices, named).dropDuplicates(["anchor", "seg"]) if False else keyed.dropDuplicates(["key"]).select("key", "text").join(cut, "key").mapInArrow(slices, named)
+    pieces = keyed.dropDuplicates(["key"]).select("key", "text").join(cut, "key").mapInArrow(slices, named)
     salt = F.pmod(F.xxhash64("seg"), "k").cast("int")
     i = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     dealt = pieces.withColumn("own", salt).withColumn("other", i)
