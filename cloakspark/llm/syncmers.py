@@ -62,7 +62,7 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, text, sk, next_text, next_sk: each document with the next by (doc_id, text hash), the last with the first.
 
     Documents are dealt to ranges of ids (bounds from an approximate quantile) and shuffled once; a window in a range
-    finds the next one, and a small table of each range's first document, one row a range, bridges ranges.
+    finds the next one. A small table of each range's first document, one row a range, says which ones bridge ranges.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = min(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -73,14 +73,16 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     firsts = d.groupBy("b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th")).alias("f")).orderBy("b").collect()  # 2000 rows at most
     if not firsts:
         return d.select("doc_id", "text", sketch(F.col("text")).alias("sk"), F.col("text").alias("next_text"), sketch(F.col("text")).alias("next_sk"))
-    ahead = [(r["b"], f["f"]["doc_id"], f["f"]["th"]) for r, f in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    heads = spark.createDataFrame(ahead, "hb int, hid long, hth long")
-    head = d.join(F.broadcast(heads), d.doc_id.eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")) & F.col("b").isin([*{r["b"] for r in firsts}]))
-    head = head.dropDuplicates(["hb"]).select("hb", F.struct("text", sketch(F.col("text")).alias("sk")).alias("head"))
-    w = Window.partitionBy("b").orderBy("doc_id", "th")
-    d = d.withColumn("sk", sketch(F.col("text"))).withColumn("after", F.lead(F.struct("text", "sk")).over(w))
-    last = d.where("after IS NULL").drop("after").join(head, F.col("b") == F.col("hb"), "left").select("doc_id", "text", "sk", F.col("head").alias("after"))
-    out = d.where("after IS NOT NULL").select("doc_id", "text", "sk", "after").union(last)
+    before = [(r["f"]["doc_id"], r["f"]["th"], p["b"], r["b"]) for p, r in zip(firsts[-1:] + firsts[:-1], firsts, strict=True)]
+    heads = spark.createDataFrame(before, "hid long, hth long, pb int, hb int")
+    # The first document of a range goes to the range before as well, behind its rows: one shuffle serves both.
+    d = d.withColumn("sk", sketch(F.col("text")))
+    d = d.join(F.broadcast(heads), (F.col("b") == F.col("hb")) & d.doc_id.eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
+    own = F.struct(F.col("b").alias("to"), F.lit(0).alias("extra"))
+    both = F.when(F.col("pb").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("pb").alias("to"), F.lit(1).alias("extra"))))
+    dealt = d.select("doc_id", "th", "text", "sk", F.explode(both).alias("g")).select("doc_id", "th", "text", "sk", "g.to", "g.extra")
+    w = Window.partitionBy("to").orderBy("extra", "doc_id", "th")
+    out = dealt.withColumn("after", F.lead(F.struct("text", "sk")).over(w)).where("extra = 0")
     return out.select("doc_id", "text", "sk", F.col("after.text").alias("next_text"), F.col("after.sk").alias("next_sk"))
 
 
