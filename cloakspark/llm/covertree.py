@@ -11,7 +11,7 @@ from cloakspark.llm.common import connected_components, spanning, write_table
 
 #: Distinct vectors in a block; larger cells are split by hash.
 BLOCK = 4096
-#: Vectors of the sample from which a large label's top nodes are taken, and how many nodes.
+#: Vectors of the sample from which a large label's top nodes are taken, and how many nodes at most: one a block.
 SAMPLE, TOPS, LABELS = 2048, 32, 256
 LEAF = 64
 
@@ -71,7 +71,7 @@ def _cells(spark: SparkSession, v: DataFrame, block: int) -> dict:
         x = np.array([q[0] for q in rows], float)
         x /= np.linalg.norm(x, axis=1)[:, None]
         tops, d = [0], ((x - x[0]) ** 2).sum(1)
-        while len(tops) < TOPS and d.max() > 1e-6:
+        while len(tops) < min(TOPS, -(-r["count"] // block)) and d.max() > 1e-6:
             tops.append(int(d.argmax()))
             d = np.minimum(d, ((x - x[tops[-1]]) ** 2).sum(1))
         out[r["label"], r["dim"]] = x[tops]
