@@ -1,0 +1,113 @@
+"""Near copies by the Jaccard likeness of word shingles: MinHash bands propose pairs, exact likeness decides."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakspark.llm.common import connected_components, drop_table, write_table
+from cloakspark.llm.simhash import shingle_hashes
+
+#: A pair of likeness x shares a band with probability 1 - (1 - x**ROWS)**BANDS: 0.9996 at 0.8.
+BANDS, ROWS = 20, 5
+_rng = np.random.default_rng(5)
+_MUL, _ADD = (_rng.integers(0, 2**64, BANDS * ROWS, np.uint64) for _ in range(2))
+_MUL |= np.uint64(1)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def bands(held: np.ndarray) -> list[int]:
+    """Signed 64-bit keys of the bands of a shingle set; none for an empty one."""
+    if not len(held):
+        return []
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for k in range(0, len(held), 2048):
+        least = np.minimum(least, (held[k : k + 2048, None] * _MUL + _ADD).min(0))
+    keys = [xxhash.xxh64_intdigest(least[ROWS * i : ROWS * (i + 1)].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _signed(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, th, node, bands) of each row; a node is a distinct shingle set."""
+
+    def of(batches):
+        for b in batches:
+            sets = [shingle_set(t, shingle) for t in b.column(2).to_pylist()]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "th", "node", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), "th", "text").mapInArrow(of, "doc_id long, th long, node long, bands array<bigint>")
+
+
+def _verified(spark: SparkSession, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are at least so alike, by the whole sets."""
+
+    def judge(batches):
+        last, held = None, None
+        for batch in batches:
+            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
+            keep = []
+            for x, s, t in zip(a, ta, tb, strict=True):
+                if x != last:
+                    last, held = x, shingle_set(s, shingle)
+                keep.append(jaccard(held, shingle_set(t, shingle)) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    named = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "th"), "node")
+    texts = write_table(spark, docs.select("th", "text").join(named, "th").groupBy("node").agg(F.first("text").alias("text")), "neartexts")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    out = write_table(spark, both.select("a", "b", "ta", "tb").mapInArrow(judge, "a long, b long"), "nearlinks")
+    drop_table(spark, texts)
+    return out
+
+
+def near_copy_components(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, th, label) of each row of ``docs``, which has th; rows have one label that links of ``similarity`` join.
+
+    Rows of equal sets are one node. In each band every node is first held against the least one; then all pairs of a
+    band that are still apart are. Every link is verified by the exact likeness of whole shingle sets.
+    """
+    rows = write_table(spark, _signed(docs, shingle), "bands")
+    nodes = rows.groupBy("node").agg(F.min("th").alias("th"))
+    keys = rows.dropDuplicates(["node"]).select("node", F.explode("bands").alias("band"))
+    keys = write_table(spark, keys, "bandkeys")
+    shared = keys.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    members = write_table(spark, keys.join(shared, "band"), "bandmembers")
+    drop_table(spark, keys)
+    first = write_table(spark, members.where("node <> a").select("a", F.col("node").alias("b")).distinct(), "nearpairs")
+    links = _verified(spark, docs, nodes, first, similarity, shingle)
+    found = connected_components(spark, links, "nearcopies")
+    apart = members.join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    open_ = apart.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band")
+    apart = write_table(spark, apart.join(open_, "band"), "bandapart")
+    x, y = apart.select("band", F.col("node").alias("a"), F.col("c").alias("ca")), apart.select("band", F.col("node").alias("b"), F.col("c").alias("cb"))
+    rest = x.join(y, "band").where("a < b AND ca <> cb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    rest = write_table(spark, rest, "nearpairs")
+    more = _verified(spark, docs, nodes, rest, similarity, shingle)
+    found = connected_components(spark, links.union(more), "nearcopies")
+    return rows.join(found, "node", "left").select("doc_id", "th", F.coalesce("component", "node").alias("label"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row of each component, all columns kept: the least by (doc_id with nulls last, text hash)."""
+    docs = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keep_first(docs, near_copy_components(spark, docs, similarity, shingle)).drop("th")
+
+
+def keep_first(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (with th) that are the least of their label in (doc_id, th, label); repeated rows once."""
+    least = labels.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("k"))
+    kept = least.select(F.col("k.doc_id").alias("kid"), F.col("k.th").alias("kth"))
+    on = docs.doc_id.cast("long").eqNullSafe(F.col("kid")) & (docs.th == F.col("kth"))
+    return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id", "th"])

@@ -18,11 +18,11 @@ BASE = 17
 TILE = 8192
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of a whole text; 0 without words. Null counts as empty."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a whole text's word shingles, with repeats; a text of fewer words is one shingle. Null counts as empty."""
     words = (text or "").encode().translate(LOWER).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
         hashes = [xxhash.xxh64_intdigest(joined, 42)]
@@ -32,7 +32,14 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[s:e], 42) for s, e in zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Unsigned 64-bit SimHash of a whole text; 0 without words. Null counts as empty."""
+    h = shingle_hashes(text, shingle)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 15):
         ones += np.unpackbits(h[k : k + (1 << 15)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)

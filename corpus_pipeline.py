@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cloakspark.llm import mixing, pii, quality, sentencepiece, simhash
+from cloakspark.llm import mixing, nearcopies, pii, quality, sentencepiece
 from cloakspark.llm.common import write_table
 from cloakspark.llm.queries import MODEL_FILE
 
@@ -14,7 +14,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(spark, docs)
+    return nearcopies.drop_near_copies(spark, docs, similarity=0.8, shingle=5)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
