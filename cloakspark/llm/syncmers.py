@@ -1,14 +1,12 @@
-"""Document fingerprints from closed syncmers over word pieces. DataFrame functions only."""
+"""Document fingerprints from closed syncmers over code points. DataFrame functions only."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Tokens of a k-mer, of the inner substrings whose least one must lie at an edge; least hashes kept; code points of a token.
-K, S, SKETCH, PIECE = 6, 2, 128, 16
-#: Texts of at most so many code points are taken by character triples.
-SHORT = 48
+#: Code points of a k-mer, and of the inner substrings whose least one must lie at an edge.
+K, S = 12, 4
 
 
 def _let(value: Column, body) -> Column:
@@ -16,46 +14,57 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def anchors(text: Column) -> Column:
-    """Hashes of a whole text's closed syncmers, with repeats.
+def placed(text: Column) -> Column:
+    """A whole text's closed syncmers in order, with repeats: hash in the upper 32 bits, code point where it starts in the lower.
 
-    Tokens are runs of other than ASCII white space, cut at every 16th code point. A k-mer of 6 tokens is chosen if the
-    least of its 5 inner pairs' hashes is the first or the last: the choice depends on those 6 tokens alone.
+    A k-mer of 12 code points is chosen if the least hash of its 9 inner substrings of 4 is the first or the last: the
+    choice depends on those 12 code points alone, and of any 8 k-mers in a row one at least is chosen. A text of fewer
+    code points than a k-mer is one anchor; an empty one has none.
     """
 
     def chosen(g: Column) -> Column:
         def at(x: Column, i: Column) -> Column:
             inner = [F.get(g, i + j) for j in range(1, K - S)]
             last = F.get(g, i + K - S)
-            first_least = (x <= last) & (x <= inner[0]) & (x <= inner[1]) & (x <= inner[2])
-            last_least = (last <= x) & (last <= inner[2]) & (last <= inner[1]) & (last <= inner[0])
-            return F.when(last.isNotNull() & (first_least | last_least), F.xxhash64(x, F.get(g, i + S), last))
+            first_least, last_least = x <= last, last <= x
+            for y in inner:
+                first_least &= x <= y
+            for y in reversed(inner):
+                last_least &= last <= y
+            # A k-mer's first, middle and last inner substrings hold all its code points.
+            return F.when(last.isNotNull() & (first_least | last_least), F.shiftleft(F.xxhash64(x, F.get(g, i + S), last), 32).bitwiseOR(i.cast("long")))
 
         return F.array_compact(F.transform(g, at))
 
-    pieces = F.transform(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0)), lambda t: F.xxhash64(t))
-    pairs = _let(pieces, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1))))
-    long = _let(pairs, chosen)
+    inner = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda t: F.xxhash64(t))
     n = F.length(text)
-    triples = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.substring(text, i, F.lit(3))))
-    own = F.when((n > 2) & (n <= SHORT), triples).when(n > SHORT, long).otherwise(F.array().cast("array<bigint>"))
-    return _let(own, lambda a: F.when((F.size(a) == 0) & (n > 0), F.array(F.xxhash64(text))).otherwise(a))
+    whole = F.array(F.shiftleft(F.xxhash64(text), 32))
+    return F.when(n >= K, _let(inner, chosen)).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
-def sketch(text: Column) -> Column:
-    """The least SKETCH distinct anchor hashes, cut to 31 bits, ascending: a sample of anchors that texts share alike."""
-    cut = F.transform(anchors(text), lambda x: F.shiftrightunsigned(x, 33).cast("int"))
-    return F.slice(F.array_sort(F.array_distinct(cut)), 1, SKETCH)
+def anchors(text: Column) -> Column:
+    """Hashes of a whole text's closed syncmers, with repeats."""
+    return F.transform(placed(text), lambda v: F.shiftright(v, 32).cast("int"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of two texts' anchors, 0 to 1: what the least hashes of the union hold in common."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return _let(both, lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))).cast("double")
+    """Jaccard likeness of the sets of anchor hashes of two texts' ``placed`` anchors, 0 to 1; 1 for two empty ones."""
+
+    def of(x: Column, y: Column) -> Column:
+        return _let(F.array_union(x, y), lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(u)))
+
+    cut = lambda p: F.transform(p, lambda v: F.shiftright(v, 32).cast("int"))
+    return of(cut(a), cut(b)).cast("double")
+
+
+def _hex(p: Column) -> Column:
+    """8 digits of each anchor's hash and one of its distance from the one before (the first: from the start), K - S at most."""
 
+    def digits(v: Column, i: Column) -> Column:
+        step = (v.bitwiseAND(0xFFFFFFFF) - F.when(i > 0, F.get(p, i - 1).bitwiseAND(0xFFFFFFFF)).otherwise(0)).cast("long")
+        return F.substring(F.lpad(F.hex(F.shiftleft(F.shiftrightunsigned(v, 32), 4).bitwiseOR(step)), 9, "0"), 1, 9)
 
-def _hex(a: Column) -> Column:
-    return F.lower(F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
+    return F.lower(F.array_join(F.transform(p, digits), ""))
 
 
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -72,15 +81,16 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     d = d.withColumn("b", bucket).withColumn("th", F.xxhash64("text"))
     firsts = d.groupBy("b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th")).alias("f")).orderBy("b").collect()  # 2000 rows at most
     if not firsts:
-        return d.select("doc_id", "text", sketch(F.col("text")).alias("sk"), F.col("text").alias("next_text"), sketch(F.col("text")).alias("next_sk"))
+        return d.select("doc_id", "text", placed(F.col("text")).alias("sk"), F.col("text").alias("next_text"), placed(F.col("text")).alias("next_sk"))
     before = [(r["f"]["doc_id"], r["f"]["th"], p["b"], r["b"]) for p, r in zip(firsts[-1:] + firsts[:-1], firsts, strict=True)]
     heads = spark.createDataFrame(before, "hid long, hth long, pb int, hb int")
     # The first document of a range goes to the range before as well, behind its rows: one shuffle serves both.
-    d = d.withColumn("sk", sketch(F.col("text")))
     d = d.join(F.broadcast(heads), (F.col("b") == F.col("hb")) & d.doc_id.eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
     own = F.struct(F.col("b").alias("to"), F.lit(0).alias("extra"))
     both = F.when(F.col("pb").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("pb").alias("to"), F.lit(1).alias("extra"))))
-    dealt = d.select("doc_id", "th", "text", "sk", F.explode(both).alias("g")).select("doc_id", "th", "text", "sk", "g.to", "g.extra")
+    dealt = d.select("doc_id", "th", "text", F.explode(both).alias("g")).select("doc_id", "th", "text", "g.to", "g.extra")
+    # Anchors are found after the shuffle, which then carries texts alone.
+    dealt = dealt.repartition("to").withColumn("sk", placed(F.col("text")))
     w = Window.partitionBy("to").orderBy("extra", "doc_id", "th")
     out = dealt.withColumn("after", F.lead(F.struct("text", "sk")).over(w)).where("extra = 0")
     return out.select("doc_id", "text", "sk", F.col("after.text").alias("next_text"), F.col("after.sk").alias("next_sk"))
@@ -90,14 +100,14 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each document.
 
     The edited text has its last quarter (code points, rounded down) replaced by the start of the next document. A null
-    text counts as empty; two empty texts have equal, empty fingerprints of likeness 1. A fingerprint is the hexadecimal
-    sketch, so equal texts have equal ones. Repeated rows follow each other in order. One document is its own next.
+    text counts as empty; two empty texts have equal, empty fingerprints of likeness 1. A fingerprint holds every
+    anchor of the text with its position, so it grows with the text and equal texts have equal ones. Repeated rows follow each other in order. One document is its own next.
     """
     d = with_next(spark, docs)
     n = F.length("text")
     k = F.floor(n / 4).cast("int")
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k)))
-    d = d.withColumn("esk", sketch(F.col("edited")))
+    d = d.withColumn("esk", placed(F.col("edited")))
     return d.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _hex(F.col("sk")).alias("fingerprint"),
         _hex(F.col("esk")).alias("edited_fingerprint"), likeness(F.col("sk"), F.col("esk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"),

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from cloakspark.llm import nearcopies
+from cloakspark.llm import nearcopies, syncmers
 
 
 def prose(rng, n):
@@ -47,3 +47,28 @@ def test_bands_recall_at_the_threshold():
         a, b = np.unique(x[:200]), np.unique(x[20:])  # 180 of 220 in common
         hits += bool(set(nearcopies.bands(a)) & set(nearcopies.bands(b)))
     assert hits >= 398
+
+
+def read_fingerprint(text):
+    """(hash, position) of each anchor."""
+    out, at = [], 0
+    for i in range(0, len(text), 9):
+        at += int(text[i + 8], 16)
+        out.append((text[i : i + 8], at))
+    return out
+
+
+def test_fingerprints_hold_all_anchors_and_positions(spark):
+    rng = random.Random(8)
+    passage = " ".join(prose(rng, 60))
+    a, b = (" ".join([*prose(rng, 3000), passage, *prose(rng, 3000)]) for _ in range(2))
+    wide = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(300))
+    texts = [a, b, wide, "x" + wide, "😀東" * 30, "short text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [read_fingerprint(r["fingerprint"]) for r in syncmers.fingerprint_documents(spark, docs).orderBy("doc_id").collect()]
+    x, y = ({(h, p - t.index(passage)) for h, p in g if 0 <= p - t.index(passage) <= len(passage) - syncmers.K} for g, t in zip(got[:2], texts, strict=False))
+    assert len(x) > 40 and x == y  # the shared passage is found whole, in place
+    assert {(h, p + 1) for h, p in got[2]} <= set(got[3])  # no cut depends on where a run starts
+    for g, t in zip(got, texts, strict=True):
+        at = [p for _, p in g]
+        assert at == sorted(set(at)) and all(v - u <= syncmers.K - syncmers.S for u, v in zip(at, at[1:], strict=False)) and len(t) - syncmers.K - at[-1] < syncmers.K - syncmers.S
