@@ -72,3 +72,10 @@ def test_fingerprints_hold_all_anchors_and_positions(spark):
     for g, t in zip(got, texts, strict=True):
         at = [p for _, p in g]
         assert at == sorted(set(at)) and all(v - u <= syncmers.K - syncmers.S for u, v in zip(at, at[1:], strict=False)) and len(t) - syncmers.K - at[-1] < syncmers.K - syncmers.S
+
+
+def test_short_edited_texts_stay_near(spark):
+    rng = random.Random(9)
+    docs = [(i, " ".join(prose(rng, 40))[: 49 + i % 50]) for i in range(60)]
+    got = syncmers.fingerprint_documents(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["near_edited"] > 0 for r in got) and np.mean([r["near_edited"] for r in got]) > 0.4
