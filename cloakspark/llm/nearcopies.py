@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakspark.llm.common import connected_components, drop_table, write_table
+from cloakspark.llm.common import connected_components, drop_table, keep_first, write_table
 from cloakspark.llm.simhash import shingle_hashes
 
 #: A pair of likeness x shares a band with probability 1 - (1 - x**ROWS)**BANDS: 0.9996 at 0.8.
@@ -103,11 +103,3 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = 0
     """One row of each component, all columns kept: the least by (doc_id with nulls last, text hash)."""
     docs = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     return keep_first(docs, near_copy_components(spark, docs, similarity, shingle)).drop("th")
-
-
-def keep_first(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with th) that are the least of their label in (doc_id, th, label); repeated rows once."""
-    least = labels.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("k"))
-    kept = least.select(F.col("k.doc_id").alias("kid"), F.col("k.th").alias("kth"))
-    on = docs.doc_id.cast("long").eqNullSafe(F.col("kid")) & (docs.th == F.col("kth"))
-    return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id", "th"])

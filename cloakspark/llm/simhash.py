@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakspark.llm.common import LOWER, connected_components, spanning, write_table
+from cloakspark.llm.common import LOWER, connected_components, keep_first, spanning, write_table
 
 #: A fingerprint's class is the four bit counts of its 16-bit parts.
 BASE = 17
@@ -132,7 +132,9 @@ def simhash_components(spark: SparkSession, docs: DataFrame, radius: int = 2, sh
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The documents whose doc_id names its component, all columns kept; one row per doc_id. Null ids stay."""
-    kept = simhash_components(spark, docs, radius, shingle).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each component of fingerprints, all columns kept: the least by (doc_id with nulls last, text hash)."""
+    named = docs.withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Rows are told apart by their texts, so that ids may repeat or be null.
+    texts = named.select(F.col("th").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = simhash_components(spark, texts, radius, shingle).select(F.col("doc_id").alias("th"), F.col("component_id").alias("label"))
+    return keep_first(named, named.select(F.col("doc_id").cast("long").alias("doc_id"), "th").join(found, "th")).drop("th")

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from cloakspark.llm import nearcopies, syncmers
+from cloakspark.llm import nearcopies, simhash, syncmers
 
 
 def prose(rng, n):
@@ -79,3 +79,12 @@ def test_short_edited_texts_stay_near(spark):
     docs = [(i, " ".join(prose(rng, 40))[: 49 + i % 50]) for i in range(60)]
     got = syncmers.fingerprint_documents(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert all(r["near_edited"] > 0 for r in got) and np.mean([r["near_edited"] for r in got]) > 0.4
+
+
+def test_dropping_goes_by_rows_not_ids(spark):
+    rng = random.Random(11)
+    a, b, c = (" ".join(prose(rng, 80)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (None, c), (None, c), (None, b)], "doc_id long, text string")
+    for drop in (simhash.drop_near_duplicates, nearcopies.drop_near_copies):
+        got = [(r["doc_id"], r["text"]) for r in drop(spark, docs).collect()]
+        assert len(got) == 3 and set(got) == {(1, a), (1, b), (None, c)}
