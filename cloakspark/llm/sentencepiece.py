@@ -2,91 +2,173 @@
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cost of a character that only byte pieces spell, above any sum of a word's piece costs.
-BYTES_COST = 10**7
 SPACE = "▁"
-#: Chunks kept with their ids by each worker, and their greatest length.
-MEMO, MEMO_CHARS = 400_000, 48
-
-
-def viterbi_stream(text: str, costs: dict[str, tuple[int, int]], prefixes: set[str], longest: int, byte_ids: list[int], commit: int = 64):
-    """Yield ids of the cheapest segmentation of ``text``; of equal ones that whose last pieces are longest.
+#: Chunks kept with their ids by each worker, their greatest length, and pairs of pieces kept with whether they may meet.
+MEMO, MEMO_CHARS, PAIRS = 700_000, 48, 1_000_000
+#: The library's kinds of model and of pieces (fixed values of its file format), and what it adds to the least score of an unknown character.
+UNIGRAM, BPE = 1, 2
+NORMAL, BYTE = 1, 6
+PENALTY = 10.0
+#: Stands for the start of a text, where a piece is asked for.
+START = 1 << 21
+
+
+class Lattice:
+    """Which pieces a text may be cut into, and at what cost. A piece is its id, or ~code point of a character without one.
+
+    Unigram: any pieces may meet, each costs its negative log probability. BPE: every prefix of a text has one encoding,
+    and a sequence of pieces is the encoding of its text just if any two neighbours alone stay as they are when merged;
+    so at each boundary one piece survives, the one that may follow the survivor at its start, and costs play no part.
+    """
 
-    Only the last positions that a later piece can start at survive. Every ``commit`` characters their backpointers are
+    def __init__(self, pieces: dict[str, tuple[int, float]], bpe: bool):
+        from ahocorasick import Automaton
+
+        self.pieces, self.bpe = pieces, bpe
+        self.text = {i: x for x, (i, _) in pieces.items()} | {START: ""}
+        self.ends = Automaton()  # finds all pieces that end at a character
+        for x, (i, score) in pieces.items():
+            self.ends.add_word(x, (len(x), i, -score))
+        self.ends.make_automaton()
+        self.longest = max(map(len, pieces), default=1)
+        self.unknown = PENALTY - min((s for _, s in pieces.values()), default=0.0)
+        self.pairs: dict[int, bool] = {}
+
+    def merged(self, text: str) -> list[str]:
+        """Characters merged as long as two neighbours make a piece: best score first, then leftmost."""
+        parts, worst = list(text), (0, -math.inf)
+        score = lambda i: self.pieces.get(parts[i] + parts[i + 1], worst)[1]
+        gain = [score(i) for i in range(len(parts) - 1)]
+        while gain and (top := max(gain)) > -math.inf:
+            i = gain.index(top)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gain[i]
+            if i:
+                gain[i - 1] = score(i - 1)
+            if i < len(gain):
+                gain[i] = score(i)
+        return parts
+
+    def meet(self, left: int, right: int) -> bool:
+        """Whether ``right`` may follow ``left`` (START: nothing) in a BPE encoding."""
+        both = [chr(~i) if i < 0 else self.text[i] for i in (left, right)]
+        ok = self.merged("".join(both)) == [x for x in both if x]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[left << 22 | right & 0x3FFFFF] = ok
+        return ok
+
+
+def viterbi_stream(text: str, lattice: Lattice, commit: int = 64):
+    """Yield the pieces of the best segmentation of ``text``; of equal costs that whose last pieces are longest.
+
+    Only boundaries that a later piece can start at survive. Every ``commit`` characters their backpointers are
     followed; what lies before the boundary on which they converge is final, is yielded and forgotten.
     """
-    n = len(text)
-    best: dict[int, tuple[int, int, int]] = {0: (0, 0, -1)}  # end: cost, start, piece (-1: bytes)
-    base = 0
-    for start in range(n):
-        here = best[start][0]
-        stop = min(n, start + longest)
-        one = False
-        for end in range(start + 1, stop + 1):
-            piece = text[start:end]
-            if piece not in prefixes:
-                break
-            if (c := costs.get(piece)) is not None:
-                one |= end == start + 1
-                if (old := best.get(end)) is None or here + c[0] < old[0]:
-                    best[end] = (here + c[0], start, c[1])
-        if not one and ((old := best.get(start + 1)) is None or here + BYTES_COST < old[0]):
-            best[start + 1] = (here + BYTES_COST, start, -1)
-        if (start + 1) % commit == 0 and start + 1 < n:
-            alive = {e for e in best if e > start}
-            while len(alive) > 1:
-                alive.remove(top := max(alive))
-                alive.add(max(best[top][1], base))
-            if (at := alive.pop()) > base:
-                yield from _path(best, base, at, text, byte_ids)
-                best = {e: x for e, x in best.items() if e >= at}
-                base = at
-    yield from _path(best, base, n, text, byte_ids)
-
-
-def _path(best, base: int, end: int, text: str, byte_ids: list[int]) -> list[int]:
+    n, bpe, pairs, meet = len(text), lattice.bpe, lattice.pairs, lattice.meet
+    # Of the boundaries from ``base`` on: the piece that ends there, its start, the cost so far.
+    last, start, cost, base, goal = [START], [0], [0.0], 0, commit
+
+    def lone() -> None:
+        at = len(last) - 1
+        last.append(~ord(text[base + at]))
+        start.append(at)
+        if not bpe:
+            cost.append(cost[at] + lattice.unknown)
+
+    for at, (size, piece, c) in lattice.ends.iter(text):  # of those with one end the longest first
+        end = at + 1 - base
+        if len(last) <= end:
+            while len(last) < end:
+                lone()
+            if end > goal:
+                alive = set(range(max(0, end - lattice.longest), end))
+                while len(alive) > 1:
+                    alive.remove(top := max(alive))
+                    alive.add(start[top])
+                if (done := alive.pop()) > 0:
+                    yield from _path(last, start, done)
+                    base, end = base + done, end - done
+                    start = [max(0, x - done) for x in start[done:]]
+                    del last[:done], cost[:done]
+                goal = end + commit
+            if not bpe and text[at] not in lattice.pieces:
+                lone()
+        elif bpe:
+            continue
+        if bpe:
+            left = last[end - size]
+            if (ok := pairs.get(left << 22 | piece)) is None:
+                ok = meet(left, piece)
+            if ok:
+                last.append(piece)
+                start.append(end - size)
+        elif len(last) <= end or cost[end - size] + c < cost[end]:
+            last[end:], start[end:], cost[end:] = [piece], [end - size], [cost[end - size] + c]
+    while len(last) <= n - base:
+        lone()
+    yield from _path(last, start, n - base)
+
+
+def _path(last: list[int], start: list[int], end: int) -> list[int]:
     steps = []
-    while end > base:
-        _, start, piece = best[end]
-        steps.append([piece] if piece >= 0 else [byte_ids[x] for x in text[start:end].replace(SPACE, "▁").encode()])
-        end = start
-    return [i for s in reversed(steps) for i in s]
+    while end > 0:
+        steps.append(last[end])
+        end = start[end]
+    return steps[::-1]
 
 
 class Codec:
-    """Encoder and decoder for one vocabulary file of the sentencepiece library; nothing is trained."""
+    """Encoder and decoder for one vocabulary file of the sentencepiece library; nothing is trained.
+
+    Both kinds of model with normal and byte pieces are known; a file with pieces of other kinds is refused, as its
+    ids could differ from the library's.
+    """
 
     def __init__(self, model_file: str):
-        from sentencepiece import SentencePieceProcessor
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-        p = SentencePieceProcessor(model_file=model_file)
-        pieces = {i: p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_unused(i))}
+        proto = sentencepiece_model_pb2.ModelProto()
+        proto.ParseFromString(SentencePieceProcessor(model_file=model_file).serialized_model_proto())
+        if proto.trainer_spec.model_type not in (UNIGRAM, BPE) or {p.type for p in proto.pieces} - {NORMAL, BYTE, 2, 3}:  # 2, 3: unknown and control
+            raise ValueError(f"{model_file}: only unigram and BPE models of normal and byte pieces are known")
         self.byte_ids = [0] * 256
-        self.bytes_of: dict[int, bytes] = {}
-        self.costs: dict[str, tuple[int, int]] = {}
-        for i, x in pieces.items():
-            if p.is_byte(i):
-                self.byte_ids[int(x[3:5], 16)] = i
-                self.bytes_of[i] = bytes([int(x[3:5], 16)])
-            else:
-                self.costs[x.replace(SPACE, " ")] = (min(round(-p.get_score(i)), BYTES_COST - 1), i)
-                self.bytes_of[i] = x.replace(SPACE, " ").encode()
-        self.prefixes = {x[:k] for x in self.costs for k in range(1, len(x) + 1)}
-        self.longest = max(map(len, self.costs))
-        apart = not any("\n" in x or " " in x.lstrip(" ") for x in self.costs)
-        self.chunks = re.compile(r"\n| *[^ \n]+| +" if apart else r"(?s).+")  # no piece crosses these boundaries
-        self.table = [self.bytes_of.get(i, b"") for i in range(p.get_piece_size())]
+        self.table = [b""] * len(proto.pieces)
+        pieces: dict[str, tuple[int, float]] = {}
+        for i, p in enumerate(proto.pieces):
+            if p.type == BYTE:
+                self.byte_ids[int(p.piece[3:5], 16)] = i
+                self.table[i] = bytes([int(p.piece[3:5], 16)])
+            elif p.type == NORMAL:
+                x = p.piece.replace(SPACE, " ")
+                pieces[x] = i, p.score
+                self.table[i] = x.encode()
+        self.lattice = Lattice(pieces, proto.trainer_spec.model_type == BPE)
+        # A text may be cut where no piece joins the two sides: around line breaks, after spaces, between letters and others.
+        apart = not any("\n" in x or " " in x.lstrip(" ") for x in pieces)
+        other = "".join(sorted({c for x in pieces for c in x if c.isalnum() and not c.isalpha()}))
+        letter = rf"[^\W\d_{re.escape(other)}]"
+        mixed = any(re.search("a[^ a]|[^ a]a", re.sub(f"{letter}+", "a", x)) for x in pieces)
+        self.chunks = re.compile(r"(?s).+" if not apart else r"\n| *[^ \n]+| +" if mixed else rf"\n| *{letter}+| *(?:(?!{letter})[^ \n])+| +")
         self.memo: dict[str, bytes] = {}
 
     def _ids(self, chunk: str) -> bytes:
-        ids = np.fromiter(viterbi_stream(chunk, self.costs, self.prefixes, self.longest, self.byte_ids), np.int32).tobytes()
+        out = array("i")
+        for i in viterbi_stream(chunk, self.lattice):
+            if i >= 0:
+                out.append(i)
+            else:
+                out.extend([self.byte_ids[x] for x in chr(~i).encode()])
+        ids = out.tobytes()
         if len(chunk) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
@@ -116,8 +198,10 @@ def _codec(model_file: str) -> Codec:
 def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_chars, n_ids, ids (array of int), exact: whether decoding the ids gives the text back.
 
-    A null text counts as empty and has no ids. Characters without a piece are spelt in byte pieces, U+2581 too, so that
-    decoding is exact. Rows are independent; each worker keeps ids of at most MEMO short chunks.
+    Ids are those of the library for the same file without normalisation; only U+2581, which the library takes for a space,
+    is spelt in byte pieces like other characters without a piece, so that decoding is exact. A null text counts as empty
+    and has no ids. Rows are independent, repeated ones included; an empty table gives an empty result. Each worker keeps
+    ids of at most MEMO short chunks.
     """
 
     def of(batches):

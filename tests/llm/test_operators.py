@@ -302,43 +302,69 @@ def test_syncmers_are_context_free(spark):
 # ---------------------------------------------------------------- 6
 
 
-def brute_viterbi(text, codec):
-    best = [(0, 0, None)] + [(math.inf, 0, None)] * len(text)
-    for end in range(1, len(text) + 1):
-        for start in range(max(0, end - codec.longest), end):
-            piece = codec.costs.get(text[start:end])
-            cost = piece[0] if piece else sentencepiece.BYTES_COST if end == start + 1 else math.inf
-            best[end] = min(best[end], (best[start][0] + cost, start, piece and piece[1]), key=lambda x: (x[0], x[1]))
-    return best[len(text)][0]
+def library():
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=MODEL_FILE)
 
 
 def test_sentencepiece(spark, docs, rows, empty):
-    codec = sentencepiece.Codec(MODEL_FILE)
-    cost_of = {i: c for c, i in codec.costs.values()}
+    codec, same = sentencepiece.Codec(MODEL_FILE), library()
     got = sentencepiece.encode_decode(docs, MODEL_FILE).collect()
     assert len(got) == len(rows) and all(r["exact"] and r["n_ids"] == len(r["ids"]) for r in got)
     by_id = {r["doc_id"]: r for r in got}
     for r in rows:
         t, ids = r[1] or "", by_id[r[0]]["ids"]
         assert codec.decode(np.array(ids, np.int32)) == t
-        if t and len(t) < 2500:
-            chars = [c for c in " " + t if c not in codec.costs]
-            bytes_of = sum(len(c.encode()) for c in chars)
-            byte_set = set(codec.byte_ids)
-            spent = sum(cost_of.get(i, 0) for i in ids if i not in byte_set)
-            assert sum(i in byte_set for i in ids) == bytes_of
-            assert spent + len(chars) * sentencepiece.BYTES_COST == brute_viterbi(" " + t, codec)
+        if sentencepiece.SPACE not in t and "\0" not in t:
+            assert ids == same.encode(t)
     assert sentencepiece.encode_decode(empty, MODEL_FILE).count() == 0
 
 
-def test_viterbi_commits_early():
-    costs = {"a": (3, 1), "aa": (4, 2), "aaa": (9, 3), " ": (1, 4), "b": (2, 5)}
-    prefixes = {p[:k] for p in costs for k in range(1, len(p) + 1)}
-    text = "ab aab aaaab " * 50 + "aaaaaaa"
-    few = list(sentencepiece.viterbi_stream(text, costs, prefixes, 3, list(range(100, 356)), commit=4))
-    assert few == list(sentencepiece.viterbi_stream(text, costs, prefixes, 3, list(range(100, 356)), commit=10**6))
-    names = {v[1]: k for k, v in costs.items()}
-    assert "".join(names[i] for i in few) == text
+def test_sentencepiece_ids_are_the_librarys(spark):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    codec, same = sentencepiece.Codec(MODEL_FILE), library()
+    assert len(texts) == 1000 and all(codec.encode(t).tolist() == same.encode(t) for t in texts)
+
+
+def test_sentencepiece_of_odd_strings():
+    rng, codec, same = random.Random(6), sentencepiece.Codec(MODEL_FILE), library()
+    parts = [*WORDS, " ", "   ", "\n", "\t", "...", "2²³4½", "🤖", "ß", "\u0301", "internationalization", "aaaaaaaa", "</s>", "<0x0A>", "Z͑ͫ", "漢字かな", "_x_", "((("]
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+        assert codec.encode(t).tolist() == same.encode(t), t
+        assert codec.decode(codec.encode(t)) == t
+
+
+def toy(bpe):
+    pieces = "a b c aa ab ba aaa abc bab cab aab aabb".split() if not bpe else "a b c ab aa bb abb aab caa abab".split()
+    return sentencepiece.Lattice({p: (i, -float(i * 7 % 5 + 1) * len(p) ** 0.5 if not bpe else -float(i)) for i, p in enumerate(pieces)}, bpe)
+
+
+@pytest.mark.parametrize("bpe", [False, True])
+def test_viterbi_against_brute_force(bpe):
+    lattice, rng = toy(bpe), random.Random(1)
+    names = {i: p for p, (i, _) in lattice.pieces.items()}
+    for _ in range(300):
+        text = "".join(rng.choice("aaabbc?") for _ in range(rng.randrange(0, 60)))
+        runs = [list(sentencepiece.viterbi_stream(text, lattice, commit=k)) for k in (1, 4, 10**6)]
+        assert runs[0] == runs[1] == runs[2]
+        cut = [names[i] if i >= 0 else chr(~i) for i in runs[0]]
+        assert "".join(cut) == text
+        if bpe:
+            assert cut == lattice.merged(text)
+            continue
+        price = lambda p: -lattice.pieces[p][1] if p in lattice.pieces else lattice.unknown if len(p) == 1 else math.inf
+        best = [0.0]
+        for end in range(1, len(text) + 1):
+            best.append(min(best[s] + price(text[s:end]) for s in range(max(0, end - 4), end)))
+        assert abs(sum(map(price, cut)) - best[-1]) < 1e-9
+
+
+def test_viterbi_commits_within_the_window():
+    lattice = toy(True)
+    out = sentencepiece.viterbi_stream("abcab?" * 100_000, lattice, commit=4)
+    assert len([next(out) for _ in range(50)]) == 50  # ids come long before the end of the text
 
 
 # ---------------------------------------------------------------- 7
