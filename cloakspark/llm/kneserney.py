@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, mapped by workers."""
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, mapped by workers."""
 
 from __future__ import annotations
 
@@ -6,21 +6,25 @@ import json
 import os
 import tempfile
 import uuid
-import zlib
 from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakspark.llm.common import LOWER, new_path, write_table
+from cloakspark.llm.common import LOWER, drop_table, new_path, write_table
 
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))  # no word holds a line break
-#: Tokens that a counting task holds at most, characters for which one shard is made, and words that may be called hot.
-CHUNK, SHARD_CHARS, HOT, HOT_SAMPLE = 3_000_000, 8_000_000, 256, 2000
+ORDER = 3
+#: Tokens that a counting task holds at most, tokens scored at a time, characters for which one shard is made, the share
+#: of documents (and their least number) in which hot words are sought, and words that may be called hot.
+CHUNK, PART, SHARD_CHARS, SHARE, LEAST, HOT = 2_500_000, 400_000, 8_000_000, 1e-4, 2000, 100_000
+#: What a row of the merge holds: sums of a word, of a context of hot words, or how many entries occur once to four times.
+WORD, CONTEXT, TIMES = 0, 1, 2
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -36,41 +40,62 @@ def _pair(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
     return x * np.uint64(0x94D049BB133111EB)
 
 
-def _stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, the word before each, and where texts begin."""
+def _stream(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, the word before each, the one before that, and where texts begin."""
     parts = [tokens(t) for t in texts]
     sizes = np.array([len(p) for p in parts])
-    w = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    z = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    before = np.empty_like(w)
-    before[1:] = w[:-1]
-    before[starts] = START
-    return w, before, starts
+    y = np.concatenate(([START], z[:-1])).astype(np.uint64)
+    y[starts] = START
+    x = np.concatenate(([START], y[:-1])).astype(np.uint64)
+    x[starts] = START
+    return z, y, x, starts
 
 
-def _shard(w1: np.ndarray, key: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    """By the first word, so that its followers meet; those of hot words are spread by the pair."""
-    h = np.where(np.isin(w1, hot), key, w1 * np.uint64(0xD6E8FEB86659FD93))
-    return ((h >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+def _batches(batch, column: int, most: int):
+    """Slices of a batch of about ``most`` characters' worth of whole texts."""
+    size = np.cumsum([len(t or "") + 1 for t in batch.column(column).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _spread(key: np.ndarray, n: int) -> np.ndarray:
+    return ((key * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+
+
+def _shard(y: np.ndarray, yz: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """By the middle word, where all it stands between meets; n-grams around hot words are spread by their last two words."""
+    return np.where(_among(y, hot), _spread(yz, n), _spread(y, n))
+
+
+def _among(y: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Whether words are hot; ``hot`` is sorted and holds START at least."""
+    return hot[np.minimum(np.searchsorted(hot, y), len(hot) - 1)] == y
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
+    """Arrays by byte planes, which compress better than whole numbers do."""
     head, body = [], []
     for k, a in arrays.items():
         if a.dtype.kind == "i":
             a = a.astype(np.min_scalar_type(int(a.max())) if len(a) else np.uint8)
         head.append((k, a.dtype.str, len(a)))
-        body.append(a.tobytes())
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
     h = json.dumps(head).encode()
-    return len(h).to_bytes(4, "little") + h + zlib.compress(b"".join(body), 1)
+    return len(h).to_bytes(4, "little") + h + zstandard.compress(b"".join(body), 1)
 
 
 def _unpack(blob: bytes) -> dict[str, np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
-    body, at, out = zlib.decompress(blob[4 + n :]), 0, {}
+    body, at, out = zstandard.decompress(blob[4 + n :]), 0, {}
     for k, kind, size in json.loads(blob[4 : 4 + n]):
         d = np.dtype(kind)
-        out[k] = np.frombuffer(body, d, size, at)
+        planes = np.frombuffer(body, np.uint8, size * d.itemsize, at).reshape(d.itemsize, size)
+        out[k] = np.ascontiguousarray(planes.T).view(d).ravel()
         at += size * d.itemsize
     return out
 
@@ -83,42 +108,97 @@ def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (k[at], *(np.add.reduceat(v[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64) for v in values))
 
 
-def _save(folder: str, name: str, *arrays: np.ndarray) -> str:
-    """Write arrays one after the other to a file of its own name; a repeated task writes another file."""
+class Table:
+    """A sorted hash array with values, as one file that workers map.
+
+    Keys are uniform 64-bit hashes. The upper bits of a key name its bucket (about 16 keys), the next 32 are kept, so an
+    absent key is taken for one that is there with a chance of 4e-9. A key's values are a code into the distinct tuples
+    of values, which are 64-bit and few.
+    """
+
+    def __init__(self, bits: int, index: np.ndarray, rest: np.ndarray, codes: np.ndarray, tuples: np.ndarray):
+        self.bits, self.index, self.rest, self.codes, self.tuples = bits, index, rest, codes, tuples
+
+    @staticmethod
+    def _cut(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64), (keys << np.uint64(bits) >> np.uint64(32)).astype(np.uint32)
+
+    @classmethod
+    def of(cls, keys: np.ndarray, *values: np.ndarray) -> Table:
+        """Of ascending distinct keys."""
+        bits = max(0, len(keys).bit_length() - 4)
+        bucket, rest = cls._cut(keys, bits)
+        mixed = np.zeros(len(keys), np.uint64)
+        for v in values:
+            mixed = _pair(mixed, v.astype(np.int64).view(np.uint64))
+        _, at, codes = np.unique(mixed, return_index=True, return_inverse=True)
+        tuples = np.stack([v.astype(np.int64)[at] for v in values], 1).reshape(-1, len(values))
+        return cls(bits, np.searchsorted(bucket, np.arange((1 << bits) + 1)).astype(np.uint32), rest, codes.astype(np.min_scalar_type(max(0, len(at) - 1))), tuples)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """A row of values for each key, zeros where absent."""
+        bucket, rest = self._cut(keys, self.bits)
+        low, high = self.index[bucket].astype(np.int64), self.index[bucket + 1].astype(np.int64)
+        end = high
+        while (open_ := low < high).any():
+            mid = (low + high) >> 1
+            less = open_ & (self.rest[np.minimum(mid, len(self.rest) - 1)] < rest)
+            low, high = np.where(less, mid + 1, low), np.where(open_ & ~less, mid, high)
+        out = np.zeros((len(keys), self.tuples.shape[1]), np.int64)
+        hit = np.flatnonzero(low < end)
+        hit = hit[self.rest[low[hit]] == rest[hit]]
+        out[hit] = self.tuples[self.codes[low[hit]]]
+        return out
+
+    def save(self, folder: str, name: str) -> None:
+        """Under a name of its own first, then under ``name``: a repeated task replaces a file by an equal one."""
+        from pyarrow import fs
+
+        f, path = fs.FileSystem.from_uri(folder)
+        arrays = (self.index, self.rest, self.codes, self.tuples)
+        head = json.dumps([self.bits, [(a.dtype.str, a.shape) for a in arrays]]).encode()
+        with f.open_output_stream(tried := f"{path}/{name}-{uuid.uuid4().hex}") as out:
+            out.write((len(head).to_bytes(8, "little") + head).ljust(1024))
+            for a in arrays:
+                out.write(np.ascontiguousarray(a).tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0"))
+        f.move(tried, f"{path}/{name}")
+
+    @classmethod
+    def load(cls, folder: str, name: str) -> Table | None:
+        """The mapped file, or None if no shard of that name was written."""
+        path = _local_path(folder, name)
+        if path is None:
+            return None
+        with open(path, "rb") as f:
+            head = f.read(1024)
+        bits, shapes = json.loads(head[8 : 8 + int.from_bytes(head[:8], "little")])
+        at, arrays = 1024, []
+        for kind, shape in shapes:
+            size = int(np.prod(shape)) * np.dtype(kind).itemsize
+            arrays.append(np.memmap(path, kind, "r", at, tuple(shape)) if size else np.zeros(shape, kind))
+            at += -(-size // 8) * 8
+        return cls(bits, *arrays)
+
+
+_copies: list[tempfile.TemporaryDirectory] = []
+
+
+def _local_path(folder: str, name: str) -> str | None:
+    """Where the file can be mapped; from a remote store it is copied to a folder that goes with this worker."""
     from pyarrow import fs
 
-    name = f"{name}-{uuid.uuid4().hex}"
-    f, path = fs.FileSystem.from_uri(folder)
-    with f.open_output_stream(f"{path}/{name}") as out:
-        for a in arrays:
-            out.write(np.ascontiguousarray(a).tobytes())
-    return name
-
-
-_local: dict[str, str] = {}
-
-
-def _mapped(folder: str, name: str, n: int, *kinds: str) -> list[np.ndarray]:
-    """Arrays of a file of ``_save``, mapped; from a remote store it is copied to this worker's disk for its lifetime."""
-    uri = f"{folder}/{name}"
-    if not n:
-        return [np.zeros(0, k) for k in kinds]
-    path = urlparse(folder).path + "/" + name
-    if not os.path.exists(path):
-        if uri not in _local:
-            from pyarrow import fs
-
-            f, p = fs.FileSystem.from_uri(uri)
-            _local[uri] = os.path.join(tempfile.mkdtemp(), name)
-            with f.open_input_stream(p) as src, open(_local[uri], "wb") as out:
-                while chunk := src.read(1 << 22):
-                    out.write(chunk)
-        path = _local[uri]
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.memmap(path, k, "r", at, (n,)))
-        at += n * np.dtype(k).itemsize
-    return out
+    f, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+    if f.get_file_info(path).type != fs.FileType.File:
+        return None
+    if isinstance(f, fs.LocalFileSystem):
+        return urlparse(folder).path + "/" + name
+    if not _copies:
+        _copies.append(tempfile.TemporaryDirectory())
+    local = os.path.join(_copies[0].name, uuid.uuid4().hex)
+    with f.open_input_stream(path) as src, open(local, "wb") as out:
+        while chunk := src.read(1 << 22):
+            out.write(chunk)
+    return local
 
 
 def _discounts(counts: np.ndarray) -> tuple[float, float, float]:
@@ -136,104 +216,137 @@ def _off(n: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 
 class Model:
-    """Looks up hash arrays. Words: c count, cc distinct words before; and as contexts: tot, followers seen once, twice, more."""
+    """Looks up the tables of ``train``. ``meta`` holds totals and the hot words, nothing for each shard."""
 
-    WORD = ("<u8", "<u4", "<u4", "<u4", "<u4", "<u4", "<u4")
+    MAPS = 8192
 
     def __init__(self, meta: dict):
-        self.meta = meta
-        self.hot = np.array(meta["hot"], np.uint64)
-        self.pairs: dict[int, list[np.ndarray]] = {}
-        self.words: dict[int, list[np.ndarray]] = {}
-
-    def _find(self, kind: str, shard: np.ndarray, key: np.ndarray, types: tuple[str, ...]) -> list[np.ndarray]:
-        """Values of distinct ``key``, zero where absent."""
-        out = [np.zeros(len(key), np.int64) for _ in types[1:]]
+        self.meta, self.hot = meta, np.array(meta["hot"], np.uint64)
+        self.held: dict[tuple[str, int], Table | None] = {}
+
+    def _find(self, kind: str, shard: np.ndarray, key: np.ndarray, values: int) -> np.ndarray:
+        out = np.zeros((len(key), values), np.int64)
         order = np.argsort(shard, kind="stable")
         cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0))) if len(order) else []
-        held = self.pairs if kind == "pairs" else self.words
         for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
             at = order[a:b]
-            s = int(shard[at[0]])
-            if str(s) not in self.meta[kind]:
-                continue
-            if s not in held:
-                held[s] = _mapped(self.meta["folder"], *self.meta[kind][str(s)], *types)
-            keys, *values = held[s]
-            i = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-            hit = keys[i] == key[at]
-            for o, v in zip(out, values, strict=True):
-                o[at[hit]] = v[i[hit]]
+            name = kind, int(shard[at[0]])
+            if name not in self.held:
+                if len(self.held) >= self.MAPS:
+                    self.held.clear()
+                self.held[name] = Table.load(self.meta["folder"], f"{kind}-{name[1]}")
+            if (table := self.held[name]) is not None:
+                out[at] = table.find(key[at])
         return out
 
-    def word(self, w: np.ndarray) -> list[np.ndarray]:
+    def words(self, w: np.ndarray) -> np.ndarray:
+        """c, cc, tot, once, twice, more of each word."""
         u, back = np.unique(w, return_inverse=True)
-        n = self.meta["word_shards"]
-        return [x[back] for x in self._find("words", ((u >> np.uint64(32)) % np.uint64(n)).astype(np.int64), u, self.WORD)]
+        return self._find("words", _spread(u, self.meta["shards"]), u, 6)[back]
 
-    def logs(self, w: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def logs(self, z: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 of the model's and of the base probability of each word, and its count."""
-        m = self.meta
-        d1, d2 = m["d1"], m["d2"]
-        c, cc, *_ = self.word(w)
-        _, _, tot, n1, n2, n3 = self.word(before)
-        every, v = max(1, m["pairs_n"]), m["vocabulary"]
-        spare = sum(a * b for a, b in zip(d1, m["cc"], strict=True)) / every if m["pairs_n"] else 1.0
-        low = np.maximum(cc - _off(cc, d1), 0) / every + spare / (v + 1)
-        key = _pair(before, w)
-        u, first, back = np.unique(key, return_index=True, return_inverse=True)
-        (n,) = self._find("pairs", _shard(before[first], u, self.hot, m["shards"]), u, ("<u8", "<u4"))
-        n = n[back]
-        t = np.maximum(tot, 1)
-        p = np.where(tot > 0, np.maximum(n - _off(n, d2), 0) / t + (d2[0] * n1 + d2[1] * n2 + d2[2] * n3) / t * low, low)
+        m, shards = self.meta, self.meta["shards"]
+        of_z, of_y = self.words(z), self.words(y)
+        c, cc = of_z[:, 0], of_z[:, 1]
+        every, v = max(1, m["pairs"]), m["vocabulary"]
+        spare = sum(a * b for a, b in zip(m["d1"], m["kinds"], strict=True)) / every if m["pairs"] else 1.0
+        p = np.maximum(cc - _off(cc, m["d1"]), 0) / every + spare / (v + 1)
+        yz = _pair(y, z)
+        u, at, back = np.unique(yz, return_index=True, return_inverse=True)
+        n = self._find("pairs", _shard(y[at], u, self.hot, shards), u, 1)[back, 0]
+        p = _interpolated(n, of_y[:, 2:], m["d2"], p)
+        if m["order"] > 2:
+            xy = _pair(x, y)
+            u, at, back = np.unique(xy, return_index=True, return_inverse=True)
+            warm = _among(y[at], self.hot)
+            seen = np.zeros((len(u), 4), np.int64)
+            for kind, some, by in (("contexts", ~warm, y[at]), ("hot", warm, u)):
+                seen[some] = self._find(kind, _spread(by[some], shards), u[some], 4)
+            u, at, first = np.unique(_pair(xy, z), return_index=True, return_inverse=True)
+            n = self._find("triples", _shard(y[at], yz[at], self.hot, shards), u, 1)[first, 0]
+            p = _interpolated(n, seen[back], m["d3"], p)
         return np.log10(p), np.log10((c + 1) / (m["n"] + v + 1)), c
 
 
-def train(spark: SparkSession, docs: DataFrame) -> dict:
-    """Count bigrams of all ``docs`` and write the model's shards; gives what locates and completes them.
+def _interpolated(n: np.ndarray, context: np.ndarray, d: tuple[float, float, float], low: np.ndarray) -> np.ndarray:
+    """Discounted share of n-grams seen n times after a context (total, followers once, twice, more), the rest by ``low``."""
+    total = context[:, 0]
+    t = np.maximum(total, 1)
+    return np.where(total > 0, np.maximum(n - _off(n, d), 0) / t + context[:, 1:] @ np.array(d) / t * low, low)
+
+
+def _followers(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the sums of n, and how many n are one, two and more."""
+    return _sums(keys, n, n == 1, n == 2, n > 2)
 
-    Tasks count their own texts and send packed counts to shards by the pair's first word (hot words, from a bounded
-    sample, by the pair; any choice gives the same counts). A shard sums them, writes its sorted hash array and sends on
-    the words' sums, which are merged and written alike. The driver gets one row a shard.
+
+def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
+    """Count n-grams of all ``docs``, up to ``order`` (2 or 3), and write the model's tables; gives what locates and completes them.
+
+    Tasks count their own texts and send packed counts to shards by the middle word, at most a row for each shard that
+    they have n-grams of and never more rows than n-grams. A shard sums them and writes its tables: n-grams, what
+    stands before and behind its words. Sums of words, and of contexts of hot words, which are spread, go through one
+    ordinary shuffle of rows. Hot words are sought in a share of the documents; any choice gives the same counts.
+    The driver gets totals alone. All counts have 64 bits.
     """
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     folder = new_path(spark, "ngrams")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(8, -(-chars // SHARD_CHARS))
+    size = docs.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("n")).first()
+    shards = max(8, -(-(size["chars"] or 0) // SHARD_CHARS))
 
     def frequent(batches):
         for b in batches:
             w, n = np.unique(_stream(b.column(0).to_pylist())[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
 
-    seen = docs.select("text").limit(HOT_SAMPLE).mapInArrow(frequent, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    some = docs.select("text").sample(min(1.0, max(SHARE, LEAST / max(1, size["n"]))), 0)
+    seen = write_table(spark, some.mapInArrow(frequent, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
     total = seen.agg(F.sum("n")).first()[0] or 1
-    hot = [int(np.int64(r["w"]).view(np.uint64)) for r in seen.where(F.col("n") > total / 500).orderBy(F.desc("n"), "w").limit(HOT).collect()] + [int(START)]
-    hot_words = np.array(hot, np.uint64)
+    found = seen.where(F.col("n") > total / shards).orderBy(F.desc("n"), "w").limit(HOT).collect()  # 100 000 hashes at most
+    drop_table(spark, seen)
+    hot = np.unique(np.array([int(np.int64(r["w"]).view(np.uint64)) for r in found] + [int(START)], np.uint64))
 
     def count(batches):
         held, size = [], 0
 
         def flush():
-            w1, w2 = (np.concatenate([h[i] for h in held]) for i in (1, 0))
-            key, at, n = np.unique(_pair(w1, w2), return_index=True, return_counts=True)
-            w1, w2 = w1[at], w2[at]
-            shard = _shard(w1, key, hot_words, shards)
-            order = np.lexsort((w1, shard))
-            cuts = np.flatnonzero(np.concatenate(([True], np.diff(shard[order]) != 0)))
-            rows = []
-            for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-                o = order[a:b]
-                words, back = np.unique(np.concatenate((w1[o], w2[o])), return_inverse=True)
-                rows.append((int(shard[o[0]]), _pack(words=words, i=back[: len(o)], j=back[len(o) :], n=n[o])))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
+            z, y, x = (np.concatenate([h[i] for h in held]) for i in range(3))
+            if order == 2:
+                x[:] = 0
+            yz = _pair(y, z)
+            shard = _shard(y, yz, hot, shards)
+            key = _pair(_pair(x, y), z)
+            by = np.lexsort((key, shard)) if shards > 1 << 16 else np.argsort(shard.astype(np.uint64) << np.uint64(48) | key >> np.uint64(16))
+            k, s = key[by], shard[by]
+            new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))))
+            n = np.diff(np.concatenate((new, [len(by)])))
+            at, s = by[new], s[new]
+            vocabulary, ids = np.unique(np.concatenate((x[at], y[at], z[at])), return_inverse=True)
+            ids = ids.reshape(3, -1)
+            place = np.zeros(len(vocabulary), np.int64)
+            cuts = np.flatnonzero(np.concatenate(([True], np.diff(s) != 0)))
+            names, blobs = [], []
+            for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
+                part, many = ids[:, a:b], n[a:b]
+                part = part[:, order_ := np.argsort(part[1], kind="stable")]
+                used = np.zeros(len(vocabulary), bool)
+                used[part.ravel()] = True
+                used = np.flatnonzero(used)
+                place[used] = np.arange(len(used))
+                words = vocabulary[used]
+                i, j, k = place[part]
+                names.append(int(s[a]))
+                blobs.append(_pack(words=np.diff(words, prepend=np.uint64(0)), i=i, j=np.diff(j, prepend=0), k=k, n=many[order_]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = _stream(b.slice(k, 512).column(0).to_pylist())
-                held.append(part)
-                size += len(part[0])
+            for part in _batches(b, 0, 2_000_000):
+                held.append(_stream(part.column(0).to_pylist())[:3])
+                size += len(held[-1][0])
                 if size >= CHUNK:
                     yield flush()
                     held, size = [], 0
@@ -241,75 +354,114 @@ def train(spark: SparkSession, docs: DataFrame) -> dict:
             yield flush()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(b) for b in pdf.blob]
-        w1 = np.concatenate([p["words"][p["i"]] for p in parts])
-        w2 = np.concatenate([p["words"][p["j"]] for p in parts])
-        n = np.concatenate([p["n"].astype(np.int64) for p in parts])
+        shard, parts = int(pdf.shard.iloc[0]), []
+        for b in pdf.blob:
+            p = _unpack(b)
+            words = np.cumsum(p["words"], dtype=np.uint64)
+            parts.append((words[p["i"]], words[np.cumsum(p["j"], dtype=np.int64)], words[p["k"]], p["n"].astype(np.int64)))
+        x, y, z, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
         del parts
-        key = _pair(w1, w2)
-        order = np.argsort(key)
-        key, w1, w2, n = key[order], w1[order], w2[order], n[order]
+        key = _pair(_pair(x, y), z)
+        by = np.argsort(key)
+        key, x, y, z, n = key[by], x[by], y[by], z[by], n[by]
         at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        key, w1, w2, n = key[at], w1[at], w2[at], np.add.reduceat(n, at)
-        name = _save(folder, "pairs", key.astype("<u8"), n.astype("<u4"))
-        ones = np.ones(len(n), np.int64)
-        second = _sums(w2, n, ones)
-        first = _sums(w1, n, n == 1, n == 2, n > 2)
-        words = np.concatenate((second[0], first[0]))
-        zero = lambda a: np.zeros(len(a[0]), np.int64)
-        cols = [np.concatenate((x, zero(first))) for x in second[1:]] + [np.concatenate((zero(second), x)) for x in first[1:]]
-        words, *cols = _sums(words, *cols)
-        to = ((words >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-        rows = [(-1, json.dumps({"shard": int(pdf.shard.iloc[0]), "file": name, "n": len(key), "counts": [int((n == k).sum()) for k in (1, 2, 3, 4)]}).encode())]
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(shards + 1))
-        for s in range(shards):
-            o = order[cuts[s] : cuts[s + 1]]
-            if len(o):
-                rows.append((s, _pack(words=words[o], **{f"x{i}": c[o] for i, c in enumerate(cols)})))
-        return pd.DataFrame(rows, columns=["shard", "blob"]).astype({"shard": "int32"})
+        key, x, y, z, n = key[at], x[at], y[at], z[at], np.add.reduceat(n, at)
+        rows = []
+
+        def times(level: int, counts: np.ndarray) -> None:
+            rows.append(pd.DataFrame({"kind": [TIMES], "key": [level], **{f"v{k}": [int((counts == k + 1).sum())] for k in range(4)}}))
+
+        def sums(kind: int, keys: np.ndarray, **columns: np.ndarray) -> None:
+            rows.append(pd.DataFrame({"kind": kind, "key": keys.view(np.int64), **columns}))
+
+        if order == 3:
+            times(3, n)
+            Table.of(key, n).save(folder, f"triples-{shard}")
+            k, *v = _followers(_pair(x, y), n)
+            warm = _among(y, hot)
+            if warm.any():  # their contexts are spread over shards
+                sums(CONTEXT, (h := _followers(_pair(x[warm], y[warm]), n[warm]))[0], **{f"v{i}": c for i, c in enumerate(h[1:])})
+                k, *v = _followers(_pair(x[~warm], y[~warm]), n[~warm])
+            if len(k):
+                Table.of(k, *v).save(folder, f"contexts-{shard}")
+        yz = _pair(y, z)
+        by = np.argsort(yz)
+        at = np.flatnonzero(np.concatenate(([True], yz[by][1:] != yz[by][:-1])))
+        first = by[at]
+        kinds = np.diff(np.concatenate((at, [len(by)]))) if order == 3 else np.add.reduceat(n[by], at)
+        times(2, kinds)
+        Table.of(yz[first], kinds).save(folder, f"pairs-{shard}")
+        w, c = _sums(z, n)
+        sums(WORD, w, v0=c)
+        w, cc = _sums(z[first], np.ones(len(first), np.int64))
+        sums(WORD, w, v1=cc)
+        w, *v = _followers(y[first], kinds)
+        sums(WORD, w, **{f"v{i + 2}": c for i, c in enumerate(v)})
+        return pd.concat(rows).reindex(columns=["kind", "key", *VALUES]).fillna(0).astype({"kind": "int32", **dict.fromkeys(["key", *VALUES], "int64")})
+
+    schema = "kind int, key long, " + ", ".join(f"{v} long" for v in VALUES)
+    sent = docs.select("text").mapInArrow(count, "shard long, blob binary")
+    summed = sent.groupBy("shard").applyInPandas(merge, schema).groupBy("kind", "key").agg(*[F.sum(v).alias(v) for v in VALUES])
+    summed = write_table(spark, summed, "ngramsums")
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(b) for b in pdf.blob]
-        words, *cols = _sums(np.concatenate([p["words"] for p in parts]), *(np.concatenate([p[f"x{i}"].astype(np.int64) for p in parts]) for i in range(6)))
-        name = _save(folder, "words", words.astype("<u8"), *(np.minimum(c, 2**32 - 1).astype("<u4") for c in cols))
-        c, cc = cols[:2]
-        meta = {"shard": int(pdf.shard.iloc[0]), "file": name, "n": len(words), "tokens": int(c.sum()), "v": int((c > 0).sum()), "pairs": int(cc.sum()), "cc": [int((cc == 1).sum()), int((cc == 2).sum()), int((cc > 2).sum())], "counts": [int((cc == k).sum()) for k in (1, 2, 3, 4)]}
-        return pd.DataFrame({"meta": [json.dumps(meta)]})
-
-    sums = write_table(spark, docs.select("text").mapInArrow(count, "shard int, blob binary").groupBy("shard").applyInPandas(merge, "shard int, blob binary"), "wordsums")
-    pairs = [json.loads(bytes(r["blob"])) for r in sums.where("shard = -1").collect()]
-    words = [json.loads(r["meta"]) for r in write_table(spark, sums.where("shard >= 0").groupBy("shard").applyInPandas(gather, "meta string"), "wordfiles").collect()]
-    added = lambda rows, k: np.sum([r[k] for r in rows], 0) if rows else np.zeros(4)
+        kind, shard = int(pdf.kind.iloc[0]), int(pdf.shard.iloc[0])
+        keys = pdf.key.to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        values = [pdf[v].to_numpy()[by] for v in (VALUES if kind == WORD else VALUES[:4])]
+        Table.of(keys[by], *values).save(folder, f"{'words' if kind == WORD else 'hot'}-{shard}")
+        c, cc = values[:2]
+        made = [c.sum(), (c > 0).sum(), cc.sum(), *((cc == k).sum() for k in (1, 2, 3, 4)), (cc > 2).sum()] if kind == WORD else [0] * 8
+        return pd.DataFrame([[int(x) for x in made]], columns=TOTALS)
+
+    dealt = summed.where(F.col("kind") != TIMES).withColumn("shard", _spread_column("key", shards))
+    made = write_table(spark, dealt.groupBy("kind", "shard").applyInPandas(gather, ", ".join(f"{t} long" for t in TOTALS)), "ngramtables")
+    t = {k: v or 0 for k, v in made.agg(*[F.sum(k).alias(k) for k in TOTALS]).first().asDict().items()}
+    levels = {r["key"]: np.array([r[v] for v in VALUES[:4]]) for r in summed.where(F.col("kind") == TIMES).collect()}  # a row a level
+    drop_table(spark, summed)
+    nothing = np.zeros(4)
     return {
-        "folder": folder, "shards": shards, "word_shards": shards, "hot": hot, "pairs": {str(r["shard"]): (r["file"], r["n"]) for r in pairs}, "words": {str(r["shard"]): (r["file"], r["n"]) for r in words},
-        "n": sum(r["tokens"] for r in words), "vocabulary": sum(r["v"] for r in words), "pairs_n": sum(r["pairs"] for r in words), "cc": [sum(r["cc"][k] for r in words) for k in range(3)],
-        "d1": _discounts(added(words, "counts")), "d2": _discounts(added(pairs, "counts")),
+        "folder": folder, "order": order, "shards": shards, "hot": [int(h) for h in hot], "n": t["n"], "vocabulary": t["v"], "pairs": t["pairs"], "kinds": [t["k1"], t["k2"], t["more"]],
+        "d1": _discounts(np.array([t[f"k{k}"] for k in (1, 2, 3, 4)])), "d2": _discounts(levels.get(2, nothing)), "d3": _discounts(levels.get(3, nothing)),
     }
 
 
+VALUES = [f"v{i}" for i in range(6)]
+TOTALS = ["n", "v", "pairs", "k1", "k2", "k3", "k4", "more"]
+
+
+def _spread_column(key: str, shards: int):
+    """``_spread`` of a column of hashes, in Arrow batches: the product of unsigned 64-bit numbers has no Column form."""
+
+    @F.pandas_udf("long")
+    def of(k: pd.Series) -> pd.Series:
+        return pd.Series(_spread(k.to_numpy().view(np.uint64), shards))
+
+    return of(F.col(key))
+
+
 def held_out(doc_id, parts: int = 7, which: int = 2):
     """A null id counts as training."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == which, F.lit(False))
 
 
-def score_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of each whole text.
 
-    The model learns from all documents that are not held out. A null text counts as empty and holds its end alone.
+    The model learns from all documents that are not held out; a text begins with as many start marks as contexts are
+    long. Below the highest order an n-gram counts once for each word before it. A null text counts as empty and holds its end alone.
     Without training documents every probability is that of the uniform distribution over one unknown word. Repeated
     rows count as often as they occur and are scored alike.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    meta = train(spark, d.where(~F.col("held_out")))
+    meta = train(spark, d.where(~F.col("held_out")), order)
 
     def of(batches):
         model = Model(meta)
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                w, before, starts = _stream(part.column(1).to_pylist())
-                score, base, c = model.logs(w, before)
+            for part in _batches(b, 1, 6 * PART):
+                w, y, x, starts = _stream(part.column(1).to_pylist())
+                score, base, c = model.logs(w, y, x)
                 add = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 n = np.diff(np.concatenate((starts, [len(w)])))
                 s = add(score)
