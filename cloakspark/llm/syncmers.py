@@ -9,11 +9,44 @@ from pyspark.sql import functions as F
 K, S = 12, 4
 
 
+#: Cuts looked through at a time where a document's range is sought, and the place of a null id.
+FAN, NO_ID = 64, -(2**63)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once a row."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _kmers(text: Column, shift: Column | int = 0) -> Column:
+    """Closed syncmers of a text, as ``placed``, with ``shift`` added to each place; none in fewer than K code points."""
+
+    def chosen(points: Column) -> Column:
+        # Four bytes a code point, so that a piece is cut out in constant time.
+        piece = lambda i, k: F.xxhash64(F.substring(points, 4 * i + 1, 4 * k))
+
+        def of(g: Column) -> Column:
+            def at(x: Column, i: Column) -> Column:
+                inner = [F.get(g, i + j) for j in range(1, K - S)]
+                last = F.get(g, i + K - S)
+                first_least, last_least = x <= last, last <= x
+                for y in inner:
+                    first_least &= x <= y
+                for y in reversed(inner):
+                    last_least &= last <= y
+                return F.when(last.isNotNull() & (first_least | last_least), F.shiftleft(piece(i, K), 32).bitwiseOR((i + shift).cast("long")))
+
+            return F.array_compact(F.transform(g, at))
+
+        return _let(F.transform(F.sequence(F.lit(0), F.floor(F.octet_length(points) / 4).cast("int") - S), lambda i: piece(i, S)), of)
+
+    return F.when(F.length(text) >= K, _let(F.encode(text, "UTF-32"), chosen)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _whole(text: Column) -> Column:
+    return F.when(F.length(text) > 0, F.array(F.shiftleft(F.xxhash64(text), 32))).otherwise(F.array().cast("array<bigint>"))
+
+
 def placed(text: Column) -> Column:
     """A whole text's closed syncmers in order, with repeats: hash in the upper 32 bits, code point where it starts in the lower.
 
@@ -21,25 +54,19 @@ def placed(text: Column) -> Column:
     choice depends on those 12 code points alone, and of any 8 k-mers in a row one at least is chosen. A text of fewer
     code points than a k-mer is one anchor; an empty one has none.
     """
+    return F.when(F.length(text) >= K, _kmers(text)).otherwise(_whole(text))
 
-    def chosen(g: Column) -> Column:
-        def at(x: Column, i: Column) -> Column:
-            inner = [F.get(g, i + j) for j in range(1, K - S)]
-            last = F.get(g, i + K - S)
-            first_least, last_least = x <= last, last <= x
-            for y in inner:
-                first_least &= x <= y
-            for y in reversed(inner):
-                last_least &= last <= y
-            # A k-mer's first, middle and last inner substrings hold all its code points.
-            return F.when(last.isNotNull() & (first_least | last_least), F.shiftleft(F.xxhash64(x, F.get(g, i + S), last), 32).bitwiseOR(i.cast("long")))
 
-        return F.array_compact(F.transform(g, at))
+def placed_joined(joined: Column, left: Column, taken: Column, left_placed: Column, right_placed: Column) -> Column:
+    """``placed`` of ``joined``: the first ``left`` code points of a text and the first ``taken`` of another, both placed already.
 
-    inner = F.transform(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda t: F.xxhash64(t))
-    n = F.length(text)
-    whole = F.array(F.shiftleft(F.xxhash64(text), 32))
-    return F.when(n >= K, _let(inner, chosen)).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    As anchors are free of context, those within either part are known; only k-mers across the seam are looked at.
+    """
+    at = lambda v: v.bitwiseAND(0xFFFFFFFF)
+    before = F.least(left, F.lit(K - 1))
+    seam = F.substring(joined, left - before + 1, before + F.least(taken, F.lit(K - 1)))
+    parts = F.concat(F.filter(left_placed, lambda v: at(v) <= left - K), _kmers(seam, left - before), F.transform(F.filter(right_placed, lambda v: at(v) <= taken - K), lambda v: v + left))
+    return F.when(left + taken >= K, parts).otherwise(_whole(joined))
 
 
 def anchors(text: Column) -> Column:
@@ -47,53 +74,77 @@ def anchors(text: Column) -> Column:
     return F.transform(placed(text), lambda v: F.shiftright(v, 32).cast("int"))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of the sets of anchor hashes of two texts' ``placed`` anchors, 0 to 1; 1 for two empty ones."""
+def anchor_set(p: Column) -> Column:
+    """Distinct hashes of ``placed`` anchors."""
+    return F.array_distinct(F.transform(p, lambda v: F.shiftright(v, 32).cast("int")))
 
-    def of(x: Column, y: Column) -> Column:
-        return _let(F.array_union(x, y), lambda u: F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / F.size(u)))
 
-    cut = lambda p: F.transform(p, lambda v: F.shiftright(v, 32).cast("int"))
-    return of(cut(a), cut(b)).cast("double")
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard likeness of two anchor sets, 0 to 1; 1 for two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n))).cast("double")
 
 
 def _hex(p: Column) -> Column:
     """8 digits of each anchor's hash and one of its distance from the one before (the first: from the start), K - S at most."""
 
     def digits(v: Column, i: Column) -> Column:
-        step = (v.bitwiseAND(0xFFFFFFFF) - F.when(i > 0, F.get(p, i - 1).bitwiseAND(0xFFFFFFFF)).otherwise(0)).cast("long")
-        return F.substring(F.lpad(F.hex(F.shiftleft(F.shiftrightunsigned(v, 32), 4).bitwiseOR(step)), 9, "0"), 1, 9)
+        step = v.bitwiseAND(0xFFFFFFFF) - F.when(i > 0, F.get(p, i - 1).bitwiseAND(0xFFFFFFFF)).otherwise(0)
+        return F.lpad(F.hex(F.shiftleft(F.shiftrightunsigned(v, 32), 4).bitwiseOR(step.cast("long"))), 9, "0")
 
     return F.lower(F.array_join(F.transform(p, digits), ""))
 
 
+def _below(cuts: list[int], x: Column) -> Column:
+    """How many of the ascending ``cuts`` are less than ``x``, looking through FAN of them at a time."""
+    if not cuts:
+        return F.lit(0)
+    if len(cuts) <= FAN:
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < x))
+    rest = F.array(*[F.array(*map(F.lit, cuts[i : i + FAN])) for i in range(0, len(cuts), FAN)])
+    coarse = _below(cuts[FAN - 1 :: FAN], x)
+    return _let(coarse, lambda j: j * FAN + F.coalesce(F.size(F.filter(F.get(rest, j), lambda c: c < x)), F.lit(0)))
+
+
+def ranges(spark: SparkSession, d: DataFrame) -> Column:
+    """The range of a document of ``d`` (id, th), ascending by (id, th): some for each shuffle partition, about equal.
+
+    An id that fills several ranges by itself is dealt to as many by th, a hash.
+    """
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = d.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    some = sorted(set(cuts))
+    often = {i: m for i, c in enumerate(some) if (m := cuts.count(c)) > 1}
+    part = F.col("th").cast("double") / 2.0**64 + 0.5  # th from 0 to 1
+    j = _below(some, F.col("id"))
+    if not often:
+        return j.cast("long") * (n + 1)
+    hot = F.element_at(F.create_map(*[F.lit(x) for i, m in often.items() for x in (some[i], m)]), F.col("id"))
+    return j.cast("long") * (n + 1) + F.coalesce(1 + F.least(F.floor(part * hot), hot - 1), F.lit(0))
+
+
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, sk, next_text, next_sk: each document with the next by (doc_id, text hash), the last with the first.
+    """doc_id, text, sk, set, next_text, next_sk, next_set: each document with the next by (doc_id, text hash), the last with the first.
 
-    Documents are dealt to ranges of ids (bounds from an approximate quantile) and shuffled once; a window in a range
-    finds the next one. A small table of each range's first document, one row a range, says which ones bridge ranges.
+    Documents are dealt to ``ranges`` and shuffled once; a window in a range finds the next one. A small table of each
+    range's first document, one row a range, says which ones bridge ranges.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = min(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = d.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.coalesce("doc_id", F.lit(-(2**63))))) if cuts else F.lit(0)
-    d = d.withColumn("b", bucket).withColumn("th", F.xxhash64("text"))
-    firsts = d.groupBy("b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "th")).alias("f")).orderBy("b").collect()  # 2000 rows at most
-    if not firsts:
-        return d.select("doc_id", "text", placed(F.col("text")).alias("sk"), F.col("text").alias("next_text"), placed(F.col("text")).alias("next_sk"))
-    before = [(r["f"]["doc_id"], r["f"]["th"], p["b"], r["b"]) for p, r in zip(firsts[-1:] + firsts[:-1], firsts, strict=True)]
-    heads = spark.createDataFrame(before, "hid long, hth long, pb int, hb int")
+    d = d.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.xxhash64("text"))
+    d = d.withColumn("b", ranges(spark, d))
+    firsts = d.groupBy("b").agg(F.min(F.struct("id", "th")).alias("f")).orderBy("b").collect()  # a few rows a shuffle partition
+    before = [(r["f"]["id"], r["f"]["th"], p["b"], r["b"]) for p, r in zip(firsts[-1:] + firsts[:-1], firsts, strict=True)]
+    heads = spark.createDataFrame(before, "hid long, hth long, pb long, hb long")
     # The first document of a range goes to the range before as well, behind its rows: one shuffle serves both.
-    d = d.join(F.broadcast(heads), (F.col("b") == F.col("hb")) & d.doc_id.eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
+    d = d.join(F.broadcast(heads), (F.col("b") == F.col("hb")) & (F.col("id") == F.col("hid")) & (F.col("th") == F.col("hth")), "left")
     own = F.struct(F.col("b").alias("to"), F.lit(0).alias("extra"))
     both = F.when(F.col("pb").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("pb").alias("to"), F.lit(1).alias("extra"))))
-    dealt = d.select("doc_id", "th", "text", F.explode(both).alias("g")).select("doc_id", "th", "text", "g.to", "g.extra")
+    dealt = d.select("doc_id", "id", "th", "text", F.explode(both).alias("g")).select("doc_id", "id", "th", "text", "g.to", "g.extra")
     # Anchors are found after the shuffle, which then carries texts alone.
-    dealt = dealt.repartition("to").withColumn("sk", placed(F.col("text")))
-    w = Window.partitionBy("to").orderBy("extra", "doc_id", "th")
-    out = dealt.withColumn("after", F.lead(F.struct("text", "sk")).over(w)).where("extra = 0")
-    return out.select("doc_id", "text", "sk", F.col("after.text").alias("next_text"), F.col("after.sk").alias("next_sk"))
+    dealt = dealt.repartition("to").withColumn("sk", placed(F.col("text"))).withColumn("set", anchor_set(F.col("sk")))
+    w = Window.partitionBy("to").orderBy("extra", "id", "th")
+    out = dealt.withColumn("after", F.lead(F.struct("text", "sk", "set")).over(w)).where("extra = 0")
+    return out.select("doc_id", "text", "sk", "set", F.col("after.text").alias("next_text"), F.col("after.sk").alias("next_sk"), F.col("after.set").alias("next_set"))
 
 
 def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -101,14 +152,16 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     The edited text has its last quarter (code points, rounded down) replaced by the start of the next document. A null
     text counts as empty; two empty texts have equal, empty fingerprints of likeness 1. A fingerprint holds every
-    anchor of the text with its position, so it grows with the text and equal texts have equal ones. Repeated rows follow each other in order. One document is its own next.
+    anchor of the text with its position, so it grows with the text and equal texts have equal ones. Repeated rows, also
+    those of one or of a null doc_id (which comes first), follow each other in the order of their texts' hashes. One
+    document is its own next; an empty table gives an empty result.
     """
     d = with_next(spark, docs)
-    n = F.length("text")
-    k = F.floor(n / 4).cast("int")
-    d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k)))
-    d = d.withColumn("esk", placed(F.col("edited")))
+    k = F.floor(F.length("text") / 4).cast("int")
+    d = d.withColumn("left", F.length("text") - k).withColumn("taken", F.least(k, F.length("next_text")))
+    d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("left")), F.substring("next_text", F.lit(1), F.col("taken"))))
+    d = d.withColumn("esk", placed_joined(F.col("edited"), F.col("left"), F.col("taken"), F.col("sk"), F.col("next_sk")))
     return d.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _hex(F.col("sk")).alias("fingerprint"),
-        _hex(F.col("esk")).alias("edited_fingerprint"), likeness(F.col("sk"), F.col("esk")).alias("near_edited"), likeness(F.col("sk"), F.col("next_sk")).alias("near_next"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _hex(F.col("sk")).alias("fingerprint"),
+        _hex(F.col("esk")).alias("edited_fingerprint"), likeness(F.col("set"), anchor_set(F.col("esk"))).alias("near_edited"), likeness(F.col("set"), F.col("next_set")).alias("near_next"),
     )
