@@ -16,6 +16,8 @@ from cloakspark.llm.common import LOWER, connected_components, keep_first, spann
 #: A fingerprint's class is the four bit counts of its 16-bit parts.
 BASE = 17
 TILE = 8192
+#: Rows of the tile plan, of 12 bytes, that may be broadcast.
+PLAN = 500_000
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -87,7 +89,7 @@ def near_links(spark: SparkSession, reps: DataFrame, radius: int = 2, tile: int
     reps = reps.withColumn("c", ((part(3) * BASE + part(2)) * BASE + part(1)) * BASE + part(0))
     counts = {r["c"]: r["count"] for r in reps.groupBy("c").count().collect()}  # 83 521 rows at most
     plan = spark.createDataFrame(pd.DataFrame(tile_plan(counts, radius, tile), columns=["c", "home", "k"]).astype("int32"), "c int, home int, k int") if counts else spark.createDataFrame([], "c int, home int, k int")
-    rows = reps.join(F.broadcast(plan), "c")  # 21 rows a class at most: 1.8 million of 12 bytes
+    rows = reps.join(F.broadcast(plan) if plan.count() <= PLAN else plan, "c")
     salt, every = F.pmod(F.xxhash64("fp"), "k").cast("int"), F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     left = rows.where("c = home").withColumn("s", salt).withColumn("j", every)
     right = rows.withColumn("j", salt).withColumn("s", every)
@@ -122,13 +124,18 @@ def simhash_components(spark: SparkSession, docs: DataFrame, radius: int = 2, sh
     Whole texts, lower-cased, ``shingle``-word shingles with repeats. Each distinct fingerprint is compared once, with
     those in classes of near bit counts only, in tile pairs of bounded size; a pair hands on a spanning forest, never
     all its links. Texts without words (null, empty, blank) share fingerprint zero and link as others do. Repeated rows
-    each get a row. A null doc_id takes part as a row and never names a component. An empty table gives an empty result.
+    each get a row. A null doc_id links as others do; a component has the least id that is not null, or null if there
+    is none. An empty table gives an empty result.
     """
     fps = write_table(spark, fingerprints(docs, shingle), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = connected_components(spark, near_links(spark, reps.where("rep IS NOT NULL"), radius, tile), "simhash")
-    reps = reps.join(comp, reps.rep == comp.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(reps, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reps = write_table(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    # A fingerprint is its own node, so that one without an id takes part.
+    comp = connected_components(spark, near_links(spark, reps.select("fp", F.col("fp").alias("rep")), radius, tile), "simhash")
+    named = reps.join(comp, reps.fp == comp.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    names = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    # Written first, so that the last join stands alone and a very common fingerprint can be split.
+    named = write_table(spark, named.select("fp", "c").join(names, "c").select("fp", "component_id"), "named")
+    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
