@@ -62,20 +62,26 @@ def dual_traversal(a: Node, b: Node, eps: float):
 
 
 def _cells(spark: SparkSession, v: DataFrame, block: int) -> dict:
-    """Top nodes of labels with over ``block`` vectors, of LABELS labels at most: a bounded table."""
-    big = v.groupBy("label", "dim").count().where(F.col("count") > block).orderBy(F.desc("count"), "label", "dim").limit(LABELS).collect()
-    out = {}
-    for r in big:
-        part = v.where((F.col("label") == r["label"]) & (F.col("dim") == r["dim"]))
-        rows = part.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("x").collect()
-        x = np.array([q[0] for q in rows], float)
+    """Top nodes of labels with over ``block`` vectors, of LABELS labels at most: a bounded table, made by one job.
+
+    About SAMPLE vectors of a label, chosen by hash, are fitted in one task; LABELS * TOPS vectors come to the driver.
+    """
+    big = v.groupBy("label", "dim").count().where(F.col("count") > block).orderBy(F.desc("count"), "label", "dim").limit(LABELS)
+    part = 1 << 30
+    some = v.join(F.broadcast(big), ["label", "dim"]).where(F.pmod(F.xxhash64("rep"), F.lit(part)) * F.col("count") < SAMPLE * part)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("rep").x.to_numpy())
         x /= np.linalg.norm(x, axis=1)[:, None]
         tops, d = [0], ((x - x[0]) ** 2).sum(1)
-        while len(tops) < min(TOPS, -(-r["count"] // block)) and d.max() > 1e-6:
+        while len(tops) < min(TOPS, -(-int(pdf["count"].iloc[0]) // block)) and d.max() > 1e-6:
             tops.append(int(d.argmax()))
             d = np.minimum(d, ((x - x[tops[-1]]) ** 2).sum(1))
-        out[r["label"], r["dim"]] = x[tops]
-    return out
+        return pd.DataFrame({"label": [pdf.label.iloc[0]], "dim": [pdf.dim.iloc[0]], "tops": [x[tops].ravel()]})
+
+    kind = v.schema["label"].dataType.simpleString()
+    found = some.groupBy("label", "dim").applyInPandas(fit, f"label {kind}, dim int, tops array<double>").collect()
+    return {(r["label"], r["dim"]): np.array(r["tops"]).reshape(-1, r["dim"]) for r in found}
 
 
 def embedding_links(spark: SparkSession, vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
@@ -86,14 +92,18 @@ def embedding_links(spark: SparkSession, vectors: DataFrame, threshold: float =
     blocks by hash; pairs of cells, and rows that no cell of the pair can hold a partner of, are left out by covering
     radii. A task takes two blocks and traverses their cover trees in pairs; it returns counts and a spanning forest.
     A vector that is null, zero, empty or holds null or non-finite parts links with nothing, nor does one with a null
-    label; it is its own component. Repeated rows are vectors of their own. Vectors of other lengths never link.
+    label; it is its own component. Repeated rows are vectors of their own. Vectors of other lengths never link. A null
+    vec_id links as others do; a component has the least id that is not null, or null if there is none, and of that id
+    (or null) all rows are kept. An empty table gives an empty result.
     """
     x = F.transform("embedding", lambda e: e.cast("double"))
     usable = F.col("label").isNotNull() & F.coalesce(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("x", lambda e: e != 0), F.lit(False))
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").alias("label"), x.alias("x"))
     good = rows.where(usable).withColumn("x", F.transform("x", lambda e: e + F.lit(0.0)))
-    v = good.groupBy("label", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("rep IS NOT NULL").withColumn("dim", F.size("x"))
-    v = write_table(spark, v, "vectors")
+    # Distinct vectors have numbers of their own, so that those without an id link as well.
+    v = good.groupBy("label", "x").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("dim", F.size("x"))
+    every = write_table(spark, v.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    v = every.select("label", "x", "rep", "n", "dim")
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
     tops = _cells(spark, v, block)
 
@@ -209,8 +219,10 @@ def embedding_links(spark: SparkSession, vectors: DataFrame, threshold: float =
     found = write_table(spark, placed.mapInPandas(pair_up, schema).groupBy("label", "dim", "c1", "s1", "c2", "s2").applyInPandas(compare, "kind int, a long, b long"), "links")
     comp = connected_components(spark, found.where("kind = 1").select("a", "b"), "vectors")
     count = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
-    v = v.select("label", "x", "rep", "n").join(count, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
-    v = v.select("label", "x", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = good.join(v, ["label", "x"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    v = every.join(count, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("node"), "left")
+    v = write_table(spark, v.select("label", "x", "least", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c")), "linked")
+    names = v.groupBy("c").agg(F.min("least").alias("component_id"))
+    v = v.join(names, "c").select("label", "x", "n_links", "component_id")
+    linked = good.join(v, ["label", "x"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -116,6 +116,23 @@ def test_embedding_links(spark, monkeypatch, block, labels):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_embedding_links_through_null_ids(spark):
+    turn = lambda a: [math.cos(a), math.sin(a)]
+    step = math.acos(0.985)
+    data = [(2, turn(0), 1), (None, turn(step), 1), (1, turn(2 * step), 1), (None, turn(2), 1), (None, None, 1), (5, turn(4), None)]
+    got = covertree.embedding_links(spark, spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()
+    rows = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got)
+    assert rows == Counter([(2, 1, 1, False), (None, 2, 1, False), (1, 1, 1, True), (None, 0, None, True), (None, 0, None, True), (5, 0, 5, True)])
+
+
+def test_simhash_links_through_null_ids(spark, monkeypatch):
+    by_text = {"a": 0b0, "b": 0b11, "c": 0b1111, "d": 1 << 40 | 0b111000000}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.join(spark.createDataFrame(list(by_text.items()), "text string, fp long"), "text").select("doc_id", "fp"))
+    docs = spark.createDataFrame([(7, "a"), (None, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(spark, docs).collect()}
+    assert got == {(7, 3), (None, 3), (3, 3), (None, None)}
+
+
 def test_embedding_links_empty(spark):
     assert covertree.embedding_links(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -291,6 +308,60 @@ def test_fingerprints(spark, docs, rows, empty):
     assert syncmers.fingerprint_documents(spark, docs).count() == len(rows)
 
 
+def brute_anchors(text):
+    """(hash, place) of closed syncmers by comparing all inner substrings of each k-mer."""
+    h = lambda t: xxhash.xxh64_intdigest(t.encode("utf-32-be"), 42)
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    k, w = syncmers.K, syncmers.S
+    if len(text) < k:
+        return [(xxhash.xxh64_intdigest(text.encode(), 42) & 0xFFFFFFFF, 0)] if text else []
+    out = []
+    for i in range(len(text) - k + 1):
+        inner = [signed(h(text[i + j : i + j + w])) for j in range(k - w + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((h(text[i : i + k]) & 0xFFFFFFFF, i))
+    return out
+
+
+def brute_likeness(a, b):
+    a, b = {x for x, _ in a}, {x for x, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_fingerprints_against_brute_force(spark):
+    """Texts of every length, edited and next to each other; recall of edited texts by a likeness above those of strangers."""
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcde fghij klmno" if i % 3 else "東京都 大阪府ä😀") for _ in range(i)) for i in range(0, 130)]
+    texts += [" ".join(rng.choice(WORDS) + str(rng.randrange(99)) for _ in range(rng.randrange(20, 400))) for _ in range(40)] + [None, "", texts[50], texts[50]]
+    got = syncmers.fingerprint_documents(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    hexed = lambda anchors: "".join(f"{h:08x}{p - (anchors[i - 1][1] if i else 0):x}" for i, (h, p) in enumerate(anchors))
+    found = strangers = 0
+    for r in got:
+        i = r["doc_id"]
+        t, nxt = texts[i] or "", texts[(i + 1) % len(texts)] or ""
+        edited = t[: len(t) - len(t) // 4] + nxt[: len(t) // 4]
+        a, e, n = map(brute_anchors, (t, edited, nxt))
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (hexed(a), hexed(e)), i
+        assert abs(r["near_edited"] - brute_likeness(a, e)) < 1e-12 and abs(r["near_next"] - brute_likeness(a, n)) < 1e-12
+        found += r["near_edited"] >= 0.2
+        strangers += r["near_next"] >= 0.2 and t != nxt
+    long = [r for r in got if r["n_chars"] >= 24]
+    assert sum(r["near_edited"] >= 0.2 for r in long) >= 0.9 * len(long) and strangers <= 3
+
+
+def test_ranges_split_a_hot_id(spark):
+    """A third of the rows have no id and a third the same: they fill several ranges, and each text still meets its next."""
+    rng = random.Random(3)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {rng.random()} of row {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    d = docs.withColumn("id", F.coalesce("doc_id", F.lit(syncmers.NO_ID))).withColumn("th", F.xxhash64("text"))
+    sizes = [r["count"] for r in d.groupBy(syncmers.ranges(spark, d).alias("b")).count().collect()]
+    assert max(sizes) < 60
+    order = sorted(d.collect(), key=lambda r: (r["id"], r["th"]))
+    want = {r["text"]: order[(k + 1) % len(order)]["text"] for k, r in enumerate(order)}
+    assert {r["text"]: r["next_text"] for r in syncmers.with_next(spark, docs).collect()} == want
+
+
 def test_syncmers_are_context_free(spark):
     rng = random.Random(2)
     mid = " ".join(str(rng.randrange(10**6)) for _ in range(40))
@@ -374,52 +445,68 @@ def brute_tokens(t):
     return [*[lower(w) for w in words_of(t)], "\n</s>"]
 
 
-def brute_score(rows):
-    train = [brute_tokens(t) for i, t in rows if not (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)]
-    uni = Counter(w for d in train for w in d)
-    bi = Counter((a, b) for d in train for a, b in zip(["\n<s>", *d], d, strict=False))
+def brute_score(rows, order):
+    """Scores by recursion over plain dictionaries of n-grams, each level counted from the one above."""
+    mark = "\n<s>"
+    pad = lambda d: [mark] * (order - 1) + d
+    train = [pad(brute_tokens(t)) for i, t in rows if not (i is not None and zlib.crc32(str(i).encode()) % 7 == 2)]
+    uni = Counter(w for d in train for w in d[order - 1 :])
     n, v = sum(uni.values()), len(uni)
-    cont = Counter(b for _, b in bi)
-
-    def discounts(values):
-        n1, n2, n3, n4 = (sum(x == k for x in values) for k in (1, 2, 3, 4))
-        return kneserney._discounts(np.array([n1, n2, n3, n4]))
-
-    d1, d2 = discounts(cont.values()), discounts(bi.values())
+    level = {order: Counter(tuple(d[i : i + order]) for d in train for i in range(len(d) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter(g[1:] for g in level[k + 1])
+    cuts = {k: kneserney._discounts(np.array([sum(c == j for c in level[k].values()) for j in (1, 2, 3, 4)])) for k in level}
     off = lambda c, d: 0 if c == 0 else d[min(c, 3) - 1]
-    tot, kinds = Counter(), defaultdict(Counter)
-    for (a, _), c in bi.items():
-        tot[a] += c
-        kinds[a][min(c, 3)] += 1
-    every = sum(cont.values())
-    spare = sum(d1[k - 1] * sum(min(c, 3) == k for c in cont.values()) for k in (1, 2, 3)) / every
-
-    def p(a, b):
-        low = max(cont[b] - off(cont[b], d1), 0) / every + spare / (v + 1)
-        if not tot[a]:
-            return low
-        gamma = sum(d2[k - 1] * kinds[a][k] for k in (1, 2, 3)) / tot[a]
-        return max(bi[a, b] - off(bi[a, b], d2), 0) / tot[a] + gamma * low
-
-    for a in ["\n<s>", "the", "never seen"]:
-        assert abs(sum(p(a, b) for b in uni) + p(a, "\nunknown") - 1) < 1e-9
+    after = defaultdict(lambda: [0, 0.0])
+    for k in level:
+        for g, c in level[k].items():
+            after[g[:-1]][0] += c
+            after[g[:-1]][1] += cuts[k][min(c, 3) - 1]
+
+    def p(g):
+        k = len(g)
+        low = 1 / (v + 1) if k == 1 else p(g[1:])
+        total, spare = after[g[:-1]] if g[:-1] in after else (0, 0.0)
+        return max(level[k][g] - off(level[k][g], cuts[k]), 0) / total + spare / total * low if total else low
+
+    for context in [(mark,) * (order - 1), ("the",) * (order - 1), ("of", "the")[-(order - 1) :], ("never seen",) * (order - 1)]:
+        assert abs(sum(p((*context, w)) for w in uni) + p((*context, "\nunknown")) - 1) < 1e-9
     out = {}
     for i, t in rows:
         d = brute_tokens(t)
-        out[i] = (len(d), sum(uni[w] > 0 for w in d), n, sum(math.log10((uni[w] + 1) / (n + 1 * (v + 1))) for w in d), sum(math.log10(p(a, b)) for a, b in zip(["\n<s>", *d], d, strict=False)))
+        grams = [tuple(pad(d)[j : j + order]) for j in range(len(d))]
+        out[i] = (len(d), sum(uni[w] > 0 for w in d), n, sum(math.log10((uni[w] + 1) / (n + 1 * (v + 1))) for w in d), sum(math.log10(p(g)) for g in grams))
     return out
 
 
-def test_lm_score(spark, docs, rows, empty):
-    got = kneserney.score_documents(spark, docs).collect()
-    want = brute_score([(r[0], r[1]) for r in rows])
+@pytest.mark.parametrize("order,chunk,chars,least", [(3, 10**6, 10**6, 2000), (3, 500, 300, 2000), (2, 500, 300, 2000), (3, 500, 300, 1)])
+def test_lm_score(spark, monkeypatch, docs, rows, empty, order, chunk, chars, least):
+    """Few and many shards and chunks; words spread as hot or not; any split gives the same counts."""
+    for name, value in (("CHUNK", chunk), ("SHARD_CHARS", chars), ("LEAST", least)):
+        monkeypatch.setattr(kneserney, name, value)
+    got = kneserney.score_documents(spark, docs, order).collect()
+    want = brute_score([(r[0], r[1]) for r in rows], order)
     assert len(got) == len(rows)
     for r in got:
         n, known, total, base, score = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
         assert abs(r["base_score"] - base) < 1e-6 * (1 + abs(base)) and abs(r["score"] - score) < 1e-6 * (1 + abs(score))
-    assert kneserney.score_documents(spark, empty).count() == 0
+    assert kneserney.score_documents(spark, empty, order).count() == 0
+
+
+def test_lm_tables_hold_counts_above_32_bits(tmp_path):
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**64, 5000, np.uint64))
+    count, other = rng.integers(1, 4, len(keys)), rng.integers(0, 2, len(keys))
+    count[::100] = 2**40 + np.arange(len(count[::100]))
+    kneserney.Table.of(keys, count, other).save(f"file://{tmp_path}", "t")
+    table = kneserney.Table.load(f"file://{tmp_path}", "t")
+    assert (table.find(keys) == np.stack((count, other), 1)).all()
+    absent = np.setdiff1d(rng.integers(0, 2**64, 3000, np.uint64), keys)
+    assert not table.find(absent).any() and kneserney.Table.load(f"file://{tmp_path}", "none") is None
+    p = kneserney._unpack(kneserney._pack(a=np.array([2**40, 3]), b=keys, c=np.zeros(0, np.int64)))
+    assert p["a"].tolist() == [2**40, 3] and (p["b"] == keys).all() and len(p["c"]) == 0
 
 
 # ---------------------------------------------------------------- 8
