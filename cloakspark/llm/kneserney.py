@@ -21,10 +21,12 @@ from cloakspark.llm.common import LOWER, drop_table, new_path, write_table
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s>"))  # no word holds a line break
 ORDER = 3
 #: Tokens that a counting task holds at most, tokens scored at a time, characters for which one shard is made, the share
-#: of documents (and their least number) in which hot words are sought, and words that may be called hot.
-CHUNK, PART, SHARD_CHARS, SHARE, LEAST, HOT = 2_500_000, 400_000, 8_000_000, 1e-4, 2000, 100_000
+#: of documents (and their least number) in which common words are sought, and how many may be called hot and common.
+CHUNK, PART, SHARD_CHARS, SHARE, LEAST, HOT, COMMON = 1_600_000, 400_000, 8_000_000, 1e-4, 2000, 100_000, 65_536
 #: What a row of the merge holds: sums of a word, of a context of hot words, or how many entries occur once to four times.
 WORD, CONTEXT, TIMES = 0, 1, 2
+#: A context of one n-gram that occurs once: total, followers seen once, twice, more.
+ONCE = (1, 1, 0, 0)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -257,15 +259,20 @@ class Model:
         n = self._find("pairs", _shard(y[at], u, self.hot, shards), u, 1)[back, 0]
         p = _interpolated(n, of_y[:, 2:], m["d2"], p)
         if m["order"] > 2:
+            # A pair that was seen is a context too, as no text ends before its end mark; the tables leave out those seen once.
+            known = np.concatenate(([False], n[:-1] > 0))
+            known[y == START] = m["n"] > 0
             xy = _pair(x, y)
             u, at, back = np.unique(xy, return_index=True, return_inverse=True)
             warm = _among(y[at], self.hot)
             seen = np.zeros((len(u), 4), np.int64)
             for kind, some, by in (("contexts", ~warm, y[at]), ("hot", warm, u)):
                 seen[some] = self._find(kind, _spread(by[some], shards), u[some], 4)
+            seen = np.where(seen[:, :1] > 0, seen, 0)[back]
+            seen[known & (seen[:, 0] == 0)] = ONCE
             u, at, first = np.unique(_pair(xy, z), return_index=True, return_inverse=True)
             n = self._find("triples", _shard(y[at], yz[at], self.hot, shards), u, 1)[first, 0]
-            p = _interpolated(n, seen[back], m["d3"], p)
+            p = _interpolated(n, seen, m["d3"], p)
         return np.log10(p), np.log10((c + 1) / (m["n"] + v + 1)), c
 
 
@@ -287,7 +294,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
     Tasks count their own texts and send packed counts to shards by the middle word, at most a row for each shard that
     they have n-grams of and never more rows than n-grams. A shard sums them and writes its tables: n-grams, what
     stands before and behind its words. Sums of words, and of contexts of hot words, which are spread, go through one
-    ordinary shuffle of rows. Hot words are sought in a share of the documents; any choice gives the same counts.
+    ordinary shuffle of rows. Hot and common words are sought in a share of the documents; any choice gives the same counts.
     The driver gets totals alone. All counts have 64 bits.
     """
     if order not in (2, 3):
@@ -306,9 +313,11 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
     some = docs.select("text").sample(min(1.0, max(SHARE, LEAST / max(1, size["n"]))), 0)
     seen = write_table(spark, some.mapInArrow(frequent, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
     total = seen.agg(F.sum("n")).first()[0] or 1
-    found = seen.where(F.col("n") > total / shards).orderBy(F.desc("n"), "w").limit(HOT).collect()  # 100 000 hashes at most
+    top = seen.orderBy(F.desc("n"), "w").limit(max(HOT, COMMON)).collect()  # 100 000 hashes at most
     drop_table(spark, seen)
-    hot = np.unique(np.array([int(np.int64(r["w"]).view(np.uint64)) for r in found] + [int(START)], np.uint64))
+    hashes = lambda rows: np.unique(np.array([int(np.int64(r["w"]).view(np.uint64)) for r in rows] + [int(START)], np.uint64))
+    hot = hashes(r for r in top[:HOT] if r["n"] > total / shards)
+    shared = spark.sparkContext.broadcast(hashes(top[:COMMON]))  # half a MB: words that blobs name by number
 
     def count(batches):
         held, size = [], 0
@@ -325,22 +334,25 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
             new = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] != s[:-1]))))
             n = np.diff(np.concatenate((new, [len(by)])))
             at, s = by[new], s[new]
+            del k, key, yz, shard, by
             vocabulary, ids = np.unique(np.concatenate((x[at], y[at], z[at])), return_inverse=True)
             ids = ids.reshape(3, -1)
-            place = np.zeros(len(vocabulary), np.int64)
+            common = shared.value
+            place = np.minimum(np.searchsorted(common, vocabulary), len(common) - 1)
+            rare = common[place] != vocabulary
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(s) != 0)))
             names, blobs = [], []
             for a, b in zip(cuts, [*cuts[1:], len(s)], strict=True):
-                part, many = ids[:, a:b], n[a:b]
-                part = part[:, order_ := np.argsort(part[1], kind="stable")]
-                used = np.zeros(len(vocabulary), bool)
-                used[part.ravel()] = True
-                used = np.flatnonzero(used)
-                place[used] = np.arange(len(used))
-                words = vocabulary[used]
-                i, j, k = place[part]
+                part = ids[:, a:b]
+                own = np.zeros(len(vocabulary), bool)
+                own[part.ravel()] = True
+                own = np.flatnonzero(own & rare)
+                place[own] = len(common) + np.arange(len(own))
+                part = place[part]
+                order_ = np.argsort(part[1], kind="stable")
+                i, j, k = part[:, order_]
                 names.append(int(s[a]))
-                blobs.append(_pack(words=np.diff(words, prepend=np.uint64(0)), i=i, j=np.diff(j, prepend=0), k=k, n=many[order_]))
+                blobs.append(_pack(words=np.diff(vocabulary[own], prepend=np.uint64(0)), i=i, j=np.diff(j, prepend=0), k=k, n=n[a:b][order_]))
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
 
         for b in batches:
@@ -357,7 +369,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
         shard, parts = int(pdf.shard.iloc[0]), []
         for b in pdf.blob:
             p = _unpack(b)
-            words = np.cumsum(p["words"], dtype=np.uint64)
+            words = np.concatenate((shared.value, np.cumsum(p["words"], dtype=np.uint64)))
             parts.append((words[p["i"]], words[np.cumsum(p["j"], dtype=np.int64)], words[p["k"]], p["n"].astype(np.int64)))
         x, y, z, n = (np.concatenate([p[i] for p in parts]) for i in range(4))
         del parts
@@ -369,75 +381,70 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
         rows = []
 
         def times(level: int, counts: np.ndarray) -> None:
-            rows.append(pd.DataFrame({"kind": [TIMES], "key": [level], **{f"v{k}": [int((counts == k + 1).sum())] for k in range(4)}}))
+            rows.append(pd.DataFrame({"kind": [TIMES], "shard": [level], "key": [0], **{f"v{k}": [int((counts == k + 1).sum())] for k in range(4)}}))
 
-        def sums(kind: int, keys: np.ndarray, **columns: np.ndarray) -> None:
-            rows.append(pd.DataFrame({"kind": kind, "key": keys.view(np.int64), **columns}))
+        def sums(kind: int, keys: np.ndarray, first: int, *columns: np.ndarray) -> None:
+            rows.append(pd.DataFrame({"kind": kind, "shard": _spread(keys, shards), "key": keys.view(np.int64), **{f"v{first + i}": c for i, c in enumerate(columns)}}))
 
         if order == 3:
             times(3, n)
             Table.of(key, n).save(folder, f"triples-{shard}")
-            k, *v = _followers(_pair(x, y), n)
             warm = _among(y, hot)
             if warm.any():  # their contexts are spread over shards
-                sums(CONTEXT, (h := _followers(_pair(x[warm], y[warm]), n[warm]))[0], **{f"v{i}": c for i, c in enumerate(h[1:])})
-                k, *v = _followers(_pair(x[~warm], y[~warm]), n[~warm])
-            if len(k):
-                Table.of(k, *v).save(folder, f"contexts-{shard}")
+                h, *v = _followers(_pair(x[warm], y[warm]), n[warm])
+                sums(CONTEXT, h, 0, *v)
+            k, *v = _followers(_pair(x[~warm], y[~warm]), n[~warm])
+            more = v[0] > 1
+            if more.any():
+                Table.of(k[more], *[c[more] for c in v]).save(folder, f"contexts-{shard}")
         yz = _pair(y, z)
         by = np.argsort(yz)
         at = np.flatnonzero(np.concatenate(([True], yz[by][1:] != yz[by][:-1])))
-        first = by[at]
-        kinds = np.diff(np.concatenate((at, [len(by)]))) if order == 3 else np.add.reduceat(n[by], at)
+        first, c = by[at], np.add.reduceat(n[by], at)
+        kinds = np.diff(np.concatenate((at, [len(by)]))) if order == 3 else c
         times(2, kinds)
         Table.of(yz[first], kinds).save(folder, f"pairs-{shard}")
-        w, c = _sums(z, n)
-        sums(WORD, w, v0=c)
-        w, cc = _sums(z[first], np.ones(len(first), np.int64))
-        sums(WORD, w, v1=cc)
+        w, *v = _sums(z[first], c, np.ones(len(first), np.int64))
+        sums(WORD, w, 0, *v)
         w, *v = _followers(y[first], kinds)
-        sums(WORD, w, **{f"v{i + 2}": c for i, c in enumerate(v)})
-        return pd.concat(rows).reindex(columns=["kind", "key", *VALUES]).fillna(0).astype({"kind": "int32", **dict.fromkeys(["key", *VALUES], "int64")})
-
-    schema = "kind int, key long, " + ", ".join(f"{v} long" for v in VALUES)
-    sent = docs.select("text").mapInArrow(count, "shard long, blob binary")
-    summed = sent.groupBy("shard").applyInPandas(merge, schema).groupBy("kind", "key").agg(*[F.sum(v).alias(v) for v in VALUES])
-    summed = write_table(spark, summed, "ngramsums")
+        sums(WORD, w, 2, *v)
+        return pd.concat(rows).reindex(columns=COLUMNS).fillna(0).astype({"kind": "int32", **dict.fromkeys(COLUMNS[1:], "int64")})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Sums of a shard's words or contexts, written as a table; a row of totals of level 1, or those of higher levels."""
         kind, shard = int(pdf.kind.iloc[0]), int(pdf.shard.iloc[0])
-        keys = pdf.key.to_numpy().view(np.uint64)
-        by = np.argsort(keys)
-        values = [pdf[v].to_numpy()[by] for v in (VALUES if kind == WORD else VALUES[:4])]
-        Table.of(keys[by], *values).save(folder, f"{'words' if kind == WORD else 'hot'}-{shard}")
-        c, cc = values[:2]
-        made = [c.sum(), (c > 0).sum(), cc.sum(), *((cc == k).sum() for k in (1, 2, 3, 4)), (cc > 2).sum()] if kind == WORD else [0] * 8
+        keys, *values = _sums(pdf.key.to_numpy().view(np.uint64), *[pdf[v].to_numpy() for v in (VALUES if kind == WORD else VALUES[:4])])
+        if kind == CONTEXT:
+            more = values[0] > 1
+            if more.any():
+                Table.of(keys[more], *[v[more] for v in values]).save(folder, f"hot-{shard}")
+            made = [0] * 9
+        elif kind == WORD:
+            Table.of(keys, *values).save(folder, f"words-{shard}")
+            c, cc = values[:2]
+            made = [1, c.sum(), (c > 0).sum(), cc.sum(), *((cc == k).sum() for k in (1, 2, 3, 4)), (cc > 2).sum()]
+        else:
+            made = [shard, 0, 0, 0, *(v[0] for v in values), 0]
         return pd.DataFrame([[int(x) for x in made]], columns=TOTALS)
 
-    dealt = summed.where(F.col("kind") != TIMES).withColumn("shard", _spread_column("key", shards))
-    made = write_table(spark, dealt.groupBy("kind", "shard").applyInPandas(gather, ", ".join(f"{t} long" for t in TOTALS)), "ngramtables")
-    t = {k: v or 0 for k, v in made.agg(*[F.sum(k).alias(k) for k in TOTALS]).first().asDict().items()}
-    levels = {r["key"]: np.array([r[v] for v in VALUES[:4]]) for r in summed.where(F.col("kind") == TIMES).collect()}  # a row a level
-    drop_table(spark, summed)
+    schema = "kind int, " + ", ".join(f"{c} long" for c in COLUMNS[1:])
+    sent = docs.select("text").mapInArrow(count, "shard long, blob binary")
+    made = sent.groupBy("shard").applyInPandas(merge, schema).groupBy("kind", "shard").applyInPandas(gather, ", ".join(f"{t} long" for t in TOTALS))
+    made = write_table(spark, made, "ngramtables")
+    rows = {r["level"]: r.asDict() for r in made.groupBy("level").agg(*[F.sum(k).alias(k) for k in TOTALS[1:]]).collect()}  # a row a level
+    drop_table(spark, made)
+    t = rows.get(1, dict.fromkeys(TOTALS, 0))
+    levels = {k: np.array([r[f"k{i}"] for i in (1, 2, 3, 4)]) for k, r in rows.items()}
     nothing = np.zeros(4)
     return {
         "folder": folder, "order": order, "shards": shards, "hot": [int(h) for h in hot], "n": t["n"], "vocabulary": t["v"], "pairs": t["pairs"], "kinds": [t["k1"], t["k2"], t["more"]],
-        "d1": _discounts(np.array([t[f"k{k}"] for k in (1, 2, 3, 4)])), "d2": _discounts(levels.get(2, nothing)), "d3": _discounts(levels.get(3, nothing)),
+        "d1": _discounts(levels.get(1, nothing)), "d2": _discounts(levels.get(2, nothing)), "d3": _discounts(levels.get(3, nothing)),
     }
 
 
 VALUES = [f"v{i}" for i in range(6)]
-TOTALS = ["n", "v", "pairs", "k1", "k2", "k3", "k4", "more"]
-
-
-def _spread_column(key: str, shards: int):
-    """``_spread`` of a column of hashes, in Arrow batches: the product of unsigned 64-bit numbers has no Column form."""
-
-    @F.pandas_udf("long")
-    def of(k: pd.Series) -> pd.Series:
-        return pd.Series(_spread(k.to_numpy().view(np.uint64), shards))
-
-    return of(F.col(key))
+COLUMNS = ["kind", "shard", "key", *VALUES]
+TOTALS = ["level", "n", "v", "pairs", "k1", "k2", "k3", "k4", "more"]
 
 
 def held_out(doc_id, parts: int = 7, which: int = 2):
