@@ -82,11 +82,11 @@ def connected_components(spark: SparkSession, edges: DataFrame, tag: str = "cc")
 
 
 def keep_first(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (with th) that are the least of their label in (doc_id, th, label); repeated rows once."""
+    """The rows of ``docs`` (with _cs_th) that are the least of their label in (doc_id, th, label); repeated rows once."""
     least = labels.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th")).alias("k"))
-    kept = least.select(F.col("k.doc_id").alias("kid"), F.col("k.th").alias("kth"))
-    on = docs.doc_id.cast("long").eqNullSafe(F.col("kid")) & (docs.th == F.col("kth"))
-    return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id", "th"])
+    kept = least.select(F.col("k.doc_id").alias("_cs_id"), F.col("k.th").alias("_cs_kth"))
+    on = docs.doc_id.cast("long").eqNullSafe(F.col("_cs_id")) & (docs["_cs_th"] == F.col("_cs_kth"))
+    return docs.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_cs_th"])
 
 
 def spanning(labels, n: int, pairs) -> None:
