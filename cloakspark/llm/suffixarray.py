@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakspark.llm.common import write_table
+from cloakspark.llm.common import drop_table, write_table
 
 LENGTH, GRAM = 200, 32
 #: Segments of a shard, and of one anchor beyond which it gets tiles of its own.
@@ -137,31 +137,53 @@ def repeated_windows(pieces: list[bytes], length: int = LENGTH, kasai: bool = Tr
     return np.split(twice, np.cumsum(counts)[:-1])
 
 
-def found_in(pieces: list[bytes], others: list[bytes], length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Merging two shards: windows of each that occur in the other, by binary search in the other's suffix order."""
+def suffix_order(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces joined, and the starts of all their windows in the order of the windows' bytes."""
+    sizes = np.array([len(p) for p in pieces])
+    text = np.frombuffer(b"".join(pieces), np.uint8)
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    starts = np.concatenate([np.arange(b, b + n - length + 1) for b, n in zip(begin, sizes, strict=True)])
+    return text, starts[np.argsort(refine(text, starts, length), kind="stable")]
+
+
+def occurs(windows: np.ndarray, text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Which rows of ``windows`` stand somewhere in a shard, by binary search in its suffix ``order``."""
+    held = np.lib.stride_tricks.sliding_window_view(text, length)
+    out = np.zeros(len(windows), bool)
+    for k in range(0, len(windows), 4096):
+        w = windows[k : k + 4096]
+        low, high = np.zeros(len(w), np.int64), np.full(len(w), len(order))
+        while len(live := np.flatnonzero(low < high)):
+            mid = (low[live] + high[live]) >> 1
+            there, own = held[order[mid]], w[live]
+            apart = there != own
+            at = apart.argmax(1)
+            i = np.arange(len(live))
+            differs, less = apart[i, at], there[i, at] < own[i, at]
+            out[k + live[~differs]] = True
+            low[live] = np.where(~differs, high[live], np.where(less, mid + 1, low[live]))
+            high[live] = np.where(differs & ~less, mid, high[live])
+    return out
 
-    def windows(parts: list[bytes]):
-        cut = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, np.uint8), length) for p in parts]
-        w = np.concatenate([np.hstack((c, np.ones((len(c), 1), np.uint8))) for c in cut])  # the last byte guards trailing zeros
-        return np.ascontiguousarray(w).view(f"S{length + 1}")[:, 0], np.cumsum([len(c) for c in cut])[:-1]
 
-    (a, cut_a), (b, cut_b) = windows(pieces), windows(others)
-    out = []
-    for x, y, cut in ((a, b, cut_a), (b, a, cut_b)):
-        y = np.sort(y)
-        i = np.minimum(np.searchsorted(y, x), len(y) - 1)
-        out.append(np.split(y[i] == x, cut))
-    return out[0], out[1]
+def found_in(pieces: list[bytes], others: list[bytes], length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Merging two shards: windows of each that occur in the other, by binary search in the other's suffix order."""
+    found = []
+    for own, other in ((pieces, others), (others, pieces)):
+        windows = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(p, np.uint8), length) for p in own]
+        hits = occurs(np.concatenate(windows), *suffix_order(other, length), length)
+        found.append(np.split(hits, np.cumsum([len(w) for w in windows])[:-1]))
+    return found[0], found[1]
 
 
 def _key(docs: DataFrame) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.withColumn("key", F.xxhash64("doc_id", "text", F.crc32(F.col("text").cast("binary"))))
+    return d.withColumn("key", F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").cast("binary"))))
 
 
 def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, spans array<struct<s, e>>): windows that start elsewhere too, as byte ranges of each keyed text."""
-    runs_schema = "anchor long, seg long, key long, p1 int, p2 int"
+    """(key, spans array<struct<s, e>>), keys being 128-bit digests of id and text: windows that start elsewhere too, as byte ranges of each keyed text."""
+    runs_schema = "anchor long, seg long, key binary, p1 int, p2 int"
 
     def runs(batches):
         for b in batches:
@@ -175,20 +197,22 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH)
                         digest = xxhash.xxh3_64_intdigest
                         out[0].append(h.view(np.int64))
                         out[1].append(np.array([digest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64).view(np.int64))
-                        out[2].append(np.full(len(first), key, np.int64))
+                        out[2] += [key] * len(first)
                         out[3].append(first.astype(np.int32))
                         out[4].append(last.astype(np.int32))
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["anchor", "seg", "key", "p1", "p2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) if i == 2 else pa.array(np.concatenate(x)) for i, x in enumerate(out)], names=["anchor", "seg", "key", "p1", "p2"])
 
-    every = keyed.select("key", "text").mapInArrow(runs, runs_schema)
-    often = every.groupBy("anchor").count().where("count > 1").select("anchor")
+    # Counts by anchor are tables of their own, so that the joins with them stand alone and a very common anchor is split.
+    every = write_table(spark, keyed.select("key", "text").mapInArrow(runs, runs_schema), "everyrun")
+    often = write_table(spark, every.groupBy("anchor").count().where("count > 1").select("anchor"), "often")
     again = write_table(spark, every.join(often, "anchor", "left_semi"), "runs")
+    drop_table(spark, every)
     segs = again.groupBy("anchor", "seg").agg(F.count("*").alias("n"), F.min(F.struct("key", "p1", "p2")).alias("at"))
     segs = write_table(spark, segs.select("anchor", "seg", "n", "at.key", "at.p1", "at.p2"), "segments")
     copies = again.join(segs.where("n > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi").select("key", F.col("p1").alias("s"), (F.col("p2") + length).alias("e"))
     # Segments that occur once may share windows with other segments of their anchor.
-    many = segs.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1")
+    many = write_table(spark, segs.groupBy("anchor").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1"), "many")
     shards = max(1, -(-segs.count() // SHARD))
     cut = segs.join(many, "anchor").withColumn("k", F.ceil(F.col("m") / TILE).cast("int"))
     cut = cut.groupBy("key").agg(F.collect_list(F.struct("anchor", "seg", "n", "p1", "p2", "k")).alias("segs"))
@@ -202,10 +226,10 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH)
                     for s in r["segs"]:
                         rows.append((s["anchor"], s["seg"], s["n"], r["key"], s["p1"], s["k"], raw[s["p1"] : s["p2"] + length]))
                 cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["anchor", "seg", "n", "key", "p1", "k", "piece"])
 
-    named = "anchor long, seg long, n long, key long, p1 int, k int, piece binary"
+    named = "anchor long, seg long, n long, key binary, p1 int, k int, piece binary"
     pieces = keyed.dropDuplicates(["key"]).select("key", "text").join(cut, "key").mapInArrow(slices, named)
     salt = F.pmod(F.xxhash64("seg"), "k").cast("int")
     i = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
@@ -232,9 +256,9 @@ def repeated_spans(spark: SparkSession, keyed: DataFrame, length: int = LENGTH)
                 key += [k] * (len(edge) // 2)
                 s += (p1 + edge[::2]).tolist()
                 e += (p1 + edge[1::2] - 1 + length).tolist()
-        return pd.DataFrame({"key": np.array(key, np.int64), "s": np.array(s, np.int32), "e": np.array(e, np.int32)})
+        return pd.DataFrame({"key": np.array(key, object), "s": np.array(s, np.int32), "e": np.array(e, np.int32)})
 
-    partly = dealt.groupBy("g", "i", "j").applyInPandas(compare, "key long, s int, e int")
+    partly = dealt.groupBy("g", "i", "j").applyInPandas(compare, "key binary, s int, e int")
     return copies.union(partly).groupBy("key").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
