@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from operator import eq
 
@@ -15,9 +14,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cloakspark.llm.common import LOWER, write_table
 
-#: Labelled rows that the document classifier is fitted on, and words in its lexicon.
-SAMPLE, LEXICON = 20_000, 1000
-_EDGE = re.compile(rb"^[^0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff]+$")
+#: Labelled rows that the document classifier is fitted on.
+SAMPLE = 20_000
+#: Bytes that a word loses at both ends: all but digits, small letters and those of other alphabets.
+_EDGES = bytes(sorted(set(range(128)) - set(b"0123456789abcdefghijklmnopqrstuvwxyz")))
 _UPPER, _MARKS = np.zeros(256), np.zeros(256)
 _UPPER[65:91] = 1
 _MARKS[list(b"!#$%&*|<>=_~^@\\{}[]")] = 1
@@ -26,7 +26,7 @@ _LETTERS[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
 
 
 def plain_words(words: list[bytes]) -> set[bytes]:
-    return {_EDGE.sub(b"", w) for w in set(words)} - {b""}
+    return {w.strip(_EDGES) for w in set(words)} - {b""}
 
 
 def features(text: str | None, bad_words: frozenset[bytes] = frozenset()) -> list[float]:
@@ -37,7 +37,7 @@ def features(text: str | None, bad_words: frozenset[bytes] = frozenset()) -> lis
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) if raw else np.zeros(256)
     letters = max(1.0, float(counts @ _LETTERS))
     kinds = set(words)
-    hits = len(kinds & bad_words) + sum(w.strip(b".,;:!?\"'()").rstrip() in bad_words for w in kinds if not w[-1:].isalnum() and len(w) < 40) if bad_words else 0
+    hits = len(plain_words(words) & bad_words) if bad_words else 0
     twice = sum(map(eq, words, words[1:])) / max(1, n - 1)
     marks = float(counts @ _MARKS) / max(1, n)
     return [1.0, float(hits > 0), min(hits, 10) / np.log(8 + n), twice, float(twice > 0.1), float(counts @ _UPPER) / letters, min(marks, 4), float(marks > 0.25), len(kinds) / max(1, n), np.log1p(n), min(20, len(raw) / max(1, n)) / 10, float(n == 0)]
@@ -51,11 +51,12 @@ class DocumentModel:
         return np.clip(np.array([features(t, self.bad_words) for t in texts]).reshape(len(texts), -1) @ self.weights, -12, 12)
 
 
-def fit_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lexicon: int = LEXICON) -> DocumentModel:
+def fit_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DocumentModel:
     """Logistic regression of good (quality 1, not toxic) against bad on ``sample`` labelled documents at most.
 
-    Its lexicon holds words seen far more often in bad ones, from document frequencies. Without labels of both kinds
-    every document gets the same evidence.
+    Its lexicon holds all words seen far more often in bad ones, from document frequencies: each in a five-hundredth of
+    the bad ones at least, so at most 500 times as many as an average document has. Without labels of both kinds every
+    document gets the same evidence.
     """
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min(good).alias("good"))
@@ -76,7 +77,7 @@ def fit_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, sampl
     seen = train.mapInPandas(words, "word binary, good int, n long").groupBy("word").agg(F.sum(F.col("n") * F.col("good")).alias("g"), F.sum(F.col("n") * (1 - F.col("good"))).alias("b"))
     odds = F.log((F.col("b") + 0.5) / (sizes[0] + 1)) - F.log((F.col("g") + 0.5) / (sizes[1] + 1))
     least = max(3, 0.002 * sizes[0])
-    chosen = seen.where((F.col("b") >= least) & (odds > 2.5)).orderBy(F.desc("b"), "word").limit(lexicon).collect()
+    chosen = seen.where((F.col("b") >= least) & (odds > 2.5)).collect()
     bad_words = frozenset(bytes(r["word"]) for r in chosen)
 
     def rows(batches):
@@ -106,18 +107,22 @@ def _evidence(docs: DataFrame, model: DocumentModel) -> DataFrame:
     return docs.mapInArrow(of, StructType([*docs.schema.fields, StructField("_cs_logit", DoubleType())]))
 
 
-def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
-    """_host, _path, prior_logit: shrunken log odds of a path, from all documents' evidence, by grouped aggregation.
+def site_sums(scored: DataFrame, host: str, path: str) -> DataFrame:
+    """_cs_host, _cs_path, k, n: the sum of documents' probabilities and their number, one row a site."""
+    p = 1 / (1 + F.exp(-F.col("_cs_logit")))
+    return scored.groupBy(F.col(host).alias("_cs_host"), F.col(path).alias("_cs_path")).agg(F.sum(p).alias("k"), F.count("*").alias("n"))
+
+
+def site_posteriors(paths: DataFrame) -> DataFrame:
+    """_cs_host, _cs_path, _cs_prior: shrunken log odds of a path against the global rate, from ``site_sums``.
 
     A host's rate is shrunk to the global one and a path's to its host's; prior strengths follow by the method of
     moments from how much rates vary between hosts and between paths, so sparse sites stay near their parents.
     """
-    p = 1 / (1 + F.exp(-F.col("_cs_logit")))
-    paths = scored.groupBy(F.col(host).alias("_cs_host"), F.col(path).alias("_cs_path")).agg(F.sum(p).alias("k"), F.count("*").alias("n"))
     hosts = paths.groupBy("_cs_host").agg(F.sum("k").alias("hk"), F.sum("n").alias("hn"))
     world = hosts.agg(F.sum("hk").alias("k"), F.sum("hn").alias("n"), F.sum(F.col("hn") * F.pow(F.col("hk") / F.col("hn"), 2)).alias("q"), F.count("*").alias("m")).first()
     if not world["n"]:
-        return paths.select("_cs_host", "_cs_path", F.lit(0.0).alias("prior_logit"))
+        return paths.select("_cs_host", "_cs_path", F.lit(0.0).alias("_cs_prior"))
     rate = min(max(world["k"] / world["n"], 1e-3), 1 - 1e-3)
 
     def strength(q: float, base: float, groups: int, n: float) -> float:
@@ -131,18 +136,19 @@ def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
     inner = both.agg(F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("hp"), 2)).alias("q"), F.count("*").alias("m")).first()
     low = strength(inner["q"] + world["n"] * rate * rate, rate, inner["m"], world["n"])
     post = F.least(F.greatest((F.col("k") + low * F.col("hp")) / (F.col("n") + low), F.lit(1e-4)), F.lit(1 - 1e-4))
-    return both.select("_cs_host", "_cs_path", (F.log(post / (1 - post)) - float(np.log(rate / (1 - rate)))).alias("prior_logit"))
+    return both.select("_cs_host", "_cs_path", (F.log(post / (1 - post)) - float(np.log(rate / (1 - rate)))).alias("_cs_prior"))
 
 
 def _judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[str], host: str, path: str, threshold: float, sample: int) -> DataFrame:
     model = fit_documents(spark, docs, labels, sample)
     few = ["text", *dict.fromkeys([host, path])]
-    sites = write_table(spark, site_posteriors(_evidence(docs.select(*few), model).drop("text"), host, path), "sites")
+    sums = write_table(spark, site_sums(_evidence(docs.select(*few), model).drop("text"), host, path), "sitesums")
+    sites = write_table(spark, site_posteriors(sums), "sites")
     all_of = _evidence(docs.select(*keep), model)
     on = all_of[host].eqNullSafe(F.col("_cs_host")) & all_of[path].eqNullSafe(F.col("_cs_path"))
     small = sites.count() <= 100_000
     joined = all_of.join(F.broadcast(sites) if small else sites, on)  # small: 100 000 rows at most
-    return joined.withColumn("_cs_score", 1 / (1 + F.exp(-F.col("_cs_logit") - F.col("prior_logit")))).withColumn("_cs_kept", F.col("_cs_score") >= threshold)
+    return joined.withColumn("_cs_score", 1 / (1 + F.exp(-F.col("_cs_logit") - F.col("_cs_prior")))).withColumn("_cs_kept", F.col("_cs_score") >= threshold)
 
 
 def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
@@ -152,9 +158,13 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, host:
     usable labels all evidence is equal and all is kept. Labels may repeat; a document is good if all of its rows are.
     """
     out = _judged(spark, docs, labels, list(dict.fromkeys(["doc_id", "text", host, path])), host, path, threshold, sample)
-    return out.select(F.col("doc_id").cast("long"), F.col(host).alias("host"), F.col(path).alias("path"), F.col("_cs_logit").alias("evidence"), "prior_logit", F.col("_cs_score").alias("score"), F.col("_cs_kept").alias("kept"))
+    return out.select(F.col("doc_id").cast("long"), F.col(host).alias("host"), F.col(path).alias("path"), F.col("_cs_logit").alias("evidence"), F.col("_cs_prior").alias("prior_logit"), F.col("_cs_score").alias("score"), F.col("_cs_kept").alias("kept"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The documents whose score reaches ``threshold``, with their own columns. Each text is read twice, shuffled never."""
+    """The documents whose score reaches ``threshold``, with their own columns.
+
+    Each text is scored twice, for its site and for itself; it is shuffled only beyond 100 000 sites. Cases as in
+    ``score_quality``.
+    """
     return _judged(spark, docs, labels, docs.columns, host, path, threshold, sample).where("_cs_kept").select(*docs.columns)
