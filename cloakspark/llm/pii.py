@@ -20,12 +20,16 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\(?[0-9]{3}\)?[ .-])?[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _SPELT_EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[(\[]at[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]{1,63})+")
-_STRICT = {"phone": re.compile(r"(?:\([0-9]{3}\) |[0-9]{3}-)?[0-9]{3}-[0-9]{4}"), "email": re.compile(r"[^ ]+ ?[(\[]at[)\]] ?[^ ]+(?: ?[(\[]dot[)\]] ?[^ ]+)+"), "card": re.compile(r"[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4}")}
-#: Gazetteers: reserved exchanges and toll-free codes; top-level domains; first digits of card networks.
+# What base spans cannot be: addresses whose dots are set apart or that are of the sixth version, cards with other marks between their digits.
+_SPELT_IP = re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|[(\[]dot[)\]]) ?[0-9]{1,3}){3}(?![0-9.])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+_MARKED_CARD = re.compile(r"(?<![0-9._/])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9._/]?[0-9])")
+_STRICT = {"ip": re.compile(r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?:[^0-9]+(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})){3}|(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}"), "phone": re.compile(r"(?:\([0-9]{3}\) |[0-9]{3}-)?[0-9]{3}-[0-9]{4}"), "email": re.compile(r"[^ ]+ ?[(\[]at[)\]] ?[^ ]+(?: ?[(\[]dot[)\]] ?[^ ]+)+"), "card": re.compile(r"[0-9]{16}|(?:[0-9]{4}([ ._/-]))(?:[0-9]{4}\1){2}[0-9]{4}")}
+#: Gazetteers: reserved exchanges and toll-free codes; top-level domains; first parts of well-known networks; first digits of card networks.
 _EXCHANGES = frozenset("555 800 888 877 866 855 844 833".split())
 _DOMAINS = frozenset("com org net edu gov io co uk de fr es it in info biz example".split())
+_NETS = frozenset("10 127 169 172 192 203 198 fd00 fe80 2001".split())
 _NETWORKS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
-_CUES = {"phone": re.compile(r"(?i)\b(?:phone|call|tel|mobile|fax|contact|reach|dial)"), "email": re.compile(r"(?i)\b(?:e-?mail|contact|write|reach)"), "card": re.compile(r"(?i)\b(?:card|visa|credit|pay)")}
+_CUES = {"phone": re.compile(r"(?i)\b(?:phone|call|tel|mobile|fax|contact|reach|dial)"), "email": re.compile(r"(?i)\b(?:e-?mail|contact|write|reach)"), "card": re.compile(r"(?i)\b(?:card|visa|credit|pay)"), "ip": re.compile(r"(?i)\b(?:ip|host|server|address|from|login|ping)")}
 _AGAINST = re.compile(r"(?i)\b(?:order|version|isbn|item|invoice|serial|page|code|ticket|part)\W*$")
 
 
@@ -67,53 +71,72 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     found = []
     if "at)" in text or "at]" in text:
         found += [(m.start(), 0, m.end()) for m in _SPELT_EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end()) for m in _SPELT_IP.finditer(text)]
+    found += [(m.start(), 2, m.end()) for m in _MARKED_CARD.finditer(text)]
     found += [(m.start(), 3, m.end()) for m in _LOCAL_PHONE.finditer(text)]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= sum(map(str.isdigit, m.group())) <= 19:
             found.append((m.start(), 2, m.end()))
     out, free = [], 0
-    taken = sorted((s, e) for s, _, e in base)
+    taken = spanned(base)
     k = 0
-    for s, kind, e in sorted(found, key=lambda x: (x[0], -x[2])):
+    for s, kind, e in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
         while k < len(taken) and taken[k][1] <= s:
             k += 1
-        if s >= free and not any(a < e and b > s for a, b in taken[k : k + 4]):
+        if s >= free and not (k < len(taken) and taken[k][0] < e):
             out.append((s, kind, e, votes(text, s, kind, e)))
             free = e
     return out
 
 
+def spanned(base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches that spans cover, overlapping ones joined."""
+    out: list[tuple[int, int]] = []
+    for s, _, e in sorted(base):
+        if out and s < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], e)
+        else:
+            out.append((s, e))
+    return out
+
+
 def votes(text: str, start: int, kind: int, end: int) -> str:
-    """The kind and one vote (+, - or 0) each of the labelers: regex, gazetteer, context, surroundings, check digit."""
+    """The kind, one vote (+, - or 0) each of the labelers, and after a bar what the span itself looks like.
+
+    Labelers: regex, gazetteer, context, surroundings, check digit. Looks: how many digits, which marks stand between
+    them, whether letters or doublings occur, what the word before ends in; only the final classifier sees these.
+    """
     name, span = KINDS[kind], text[start:end]
     digits = "".join(c for c in span if c.isdigit())
     before = text[max(0, start - 40) : start]
-    shape = "+" if _STRICT[name].fullmatch(span) else "0"
+    shape = "+" if _STRICT[name].fullmatch(span) else "0" if name in ("phone", "email") else "-"
     if name == "phone":
         known = "+" if digits[-7:-4] in _EXCHANGES or digits[:-7] in _EXCHANGES else "0"
     elif name == "email":
         known = "+" if re.split(r"[\s.()\[\]]+", span.rstrip(")]"))[-1].lower() in _DOMAINS else "-"
+    elif name == "ip":
+        first = re.split(r"[^0-9A-Fa-f]", span)[0].lower()
+        known = "+" if first in _NETS else "-" if first in ("0", "00", "000") else "0"
     else:
         known = "+" if digits.startswith(_NETWORKS) else "-"
     context = "-" if _AGAINST.search(before) else "+" if _CUES[name].search(before) else "0"
     edge = text[start - 1 : start] + text[end : end + 1]
     around = "-" if any(c.isalnum() or c in "-_/=\"#" for c in edge) else "+" if all(c.isspace() or c in ".,;:!?()" for c in edge) else "0"
-    check = "-" if name == "card" else "0"
-    return f"{kind}{shape}{known}{context}{around}{check}"
+    check = ("+" if _luhn(digits) else "-") if name == "card" else "0"
+    marks = "".join(sorted({c for c in span if not c.isalnum()}))
+    looks = [str(min(len(digits), 20) // 2), str(len(marks)) if len(marks) < 3 else "3", str(int(any(c.isalpha() for c in span))), str(int(len(set(digits)) <= 3)), before[-2:-1].isalpha() and "a" or before[-2:-1].isdigit() and "d" or "o"]
+    return f"{kind}{shape}{known}{context}{around}{check}|{''.join(looks)}"
 
 
-def weigh(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
-    """Posterior of each vote pattern: reliabilities by expectation-maximisation, then a logistic span classifier.
+def reliabilities(counts: dict[str, float], rounds: int = 50) -> tuple[dict[str, float], np.ndarray]:
+    """Expectation-maximisation over vote patterns: each one's posterior, and each labeler's reliability by kind.
 
-    ``patterns`` counts all candidates by vote pattern, of which there are 4 * 3**5 at most.
+    A failing check digit is certain: such spans are known negatives.
     """
-    if not patterns:
-        return {}
-    keys = sorted(patterns)
-    n = np.array([patterns[k] for k in keys], float)
-    v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in k[1:]] for k in keys], float)
-    kind = np.array([int(k[0]) for k in keys])
-    veto = np.array([k[-1] == "-" for k in keys])  # a failing check digit is certain: such spans are known negatives
+    keys = sorted(counts)
+    n = np.array([counts[k] for k in keys], float)
+    v = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in k[1:6]] for k in keys], float)
+    kind, veto = np.array([int(k[0]) for k in keys]), np.array([k[5] == "-" for k in keys])
     right, prior = np.full((len(KINDS), v.shape[1]), 0.8), np.full(len(KINDS), 0.5)
     for _ in range(rounds):
         logit = (v * np.log(right / (1 - right))[kind]).sum(1) + np.log(prior / (1 - prior))[kind]
@@ -123,8 +146,31 @@ def weigh(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
             own = kind == k
             right[k] = np.clip((n[own] @ agree[own] + 8) / (n[own] @ (v[own] != 0) + 10), 0.55, 0.99)
             prior[k] = np.clip((n[own] @ p[own] + 1) / (n[own].sum() + 2), 0.05, 0.95)
-    x = np.hstack([np.eye(len(KINDS))[kind], v > 0, v < 0, veto[:, None] * 3.0]).astype(float)
-    w = np.zeros(x.shape[1])
+    return dict(zip(keys, p, strict=True)), right
+
+
+def weigh(patterns: dict[str, int], rounds: int = 50) -> dict[str, float]:
+    """Probability of each pattern of votes and looks: the posteriors of its votes train a logistic span classifier.
+
+    ``patterns`` counts all candidates by pattern, of which there are 4 * 3**5 * 11 * 4 * 2 * 2 * 3 at most. The classifier
+    sees kind, votes and the looks by kind, so that it can part spans on which the labelers vote alike.
+    """
+    if not patterns:
+        return {}
+    keys = sorted(patterns)
+    n = np.array([patterns[k] for k in keys], float)
+    by_votes: dict[str, float] = {}
+    for k, m in zip(keys, n, strict=True):
+        by_votes[k[:6]] = by_votes.get(k[:6], 0) + m
+    posterior, _ = reliabilities(by_votes, rounds)
+    p = np.array([posterior[k[:6]] for k in keys])
+    veto = np.array([k[5] == "-" for k in keys])
+    named = [{f"kind {k[0]}", *(f"vote {i} {c}" for i, c in enumerate(k[1:6]) if c != "0"), *(f"look {k[0]} {i} {c}" for i, c in enumerate(k[7:]))} for k in keys]
+    places = {x: i for i, x in enumerate(sorted(set().union(*named)))}
+    x = np.zeros((len(keys), len(places)))
+    for row, held in zip(x, named, strict=True):
+        row[[places[h] for h in held]] = 1
+    w = np.zeros(len(places))
     for _ in range(30):
         q = 1 / (1 + np.exp(-x @ w))
         h = (x * (n * q * (1 - q))[:, None]).T @ x + np.eye(len(w))
