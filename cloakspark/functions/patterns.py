@@ -18,7 +18,7 @@ class Pattern:
     group: int = 0
     lead: int = 0
     skip_if: tuple[str, ...] = ()
-    column_hint: str | None = None
+    column_hint: tuple[str, ...] | None = None
 
 
 _D1, _D4 = "[0-9]", "[0-9]{4}"
@@ -61,7 +61,7 @@ EXTENSIONS = (
 
 # Patterns that alone never mark a column, those the validator passes over in free text, and words that must precede a postal code.
 NOISY = ("VOTER_ID", "INDIAN_PINCODE", "IP_ADDRESS", "MAC_ADDRESS", "VEHICLE_CHASSIS_VIN", "SWIFT_BIC", "ATTACHED_NAME")
-VALIDATOR_SKIPS = ("INDIAN_PINCODE", "ATTACHED_NAME")
+VALIDATOR_SKIPS = ("INDIAN_PINCODE", "VOTER_ID", "ATTACHED_NAME")
 PINCODE_CONTEXT = ("pin", "pincode", "pin code", "zip", "postal", "area code", "pin:", "pin-")
 
 # Column hints.
@@ -116,8 +116,18 @@ class Config:
         return tuple(sorted(out, key=lambda p: first.get(p.name, 1)))
 
     def applicable(self, column: str) -> tuple[Pattern, ...]:
-        """Patterns without a column hint, or whose hint the column's name contains."""
-        return tuple(p for p in self.effective() if not p.column_hint or p.column_hint.lower() in column.lower())
+        """Patterns without a column hint, or one of whose hints the column's name contains in any case."""
+        return tuple(p for p in self.effective() if p.column_hint is None or any(h.lower() in column.lower() for h in p.column_hint))
+
+    def left_out(self, column: str) -> tuple[int, ...]:
+        """Orders of the patterns that hints keep from a column."""
+        on = self.applicable(column)
+        return tuple(i for i, p in enumerate(self.effective()) if p not in on)
+
+
+def _hints(value: str | list[str] | None) -> tuple[str, ...] | None:
+    """A hint may be one word or a list of them."""
+    return None if value is None else (value,) if isinstance(value, str) else tuple(map(str, value))
 
 
 def load_config(path: str | None, salt: str, **more) -> Config:
@@ -135,10 +145,10 @@ def load_config(path: str | None, salt: str, **more) -> Config:
         for e in data["regex_patterns"]:
             old = known.get(e["name"])
             if old and old.regex == e["pattern"]:
-                made.append(replace(old, severity=e["severity"], category=e["category"], method=e["faker_method"] if old.name != "GSTIN" else old.method))
+                made.append(replace(old, severity=e["severity"], category=e["category"], column_hint=_hints(e.get("column_hint")), method=e["faker_method"] if old.name != "GSTIN" else old.method))
             else:
                 group = 1 if "(?P<pii>" in e["pattern"] else 0
-                made.append(Pattern(e["name"], e["pattern"].replace("(?P<pii>", "("), e["severity"], e["category"], e["faker_method"], group=group, lead=group, skip_if=tuple(e.get("skip_if_matched", ())), column_hint=e.get("column_hint")))
+                made.append(Pattern(e["name"], e["pattern"].replace("(?P<pii>", "("), e["severity"], e["category"], e["faker_method"], group=group, lead=group, skip_if=tuple(e.get("skip_if_matched", ())), column_hint=_hints(e.get("column_hint"))))
         args["patterns"] = tuple(made)
     if "column_hints" in data:
         args["hints"] = {k: tuple(data["column_hints"].get(f"{k}_columns", ())) for k in HINTS}

@@ -19,6 +19,8 @@ TRIGGER_ORD, DICTIONARY_ORD, NER_ORD = 900, 901, 1000
 PERSON = Pattern("PERSON_NAME", names.TRIGGER, "HIGH", "PERSONAL", "name")
 #: Column types whose cells are prose or of unknown content.
 LOOSE = ("free_text", "auto")
+#: Lengths that are summed up at once.
+SUMMED = 128
 
 
 def _none() -> Column:
@@ -36,15 +38,26 @@ def _placed(text: Column, prio: int, confidence: float):
     """From matches to spans. Offsets come from the lengths of matches and of the gaps between them."""
 
     def of(x: Column) -> Column:
+        total = lambda a: F.aggregate(a, F.lit(0), lambda p, q: p + q)
+        own = F.when(x["group"] == 0, x["m"]).otherwise(F.regexp_extract_all(text, x["regex"], x["group"]))
+
         def spans(gaps: Column) -> Column:
-            lengths = F.transform(F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("g"), F.transform(x["m"], lambda m: F.length(m)).alias("m")), lambda z: z["g"] + F.coalesce(z["m"], F.lit(0)))
+            sizes = F.transform(F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("g"), F.transform(x["m"], lambda m: F.length(m)).alias("m")), lambda z: F.struct(z["g"].alias("g"), (z["g"] + F.coalesce(z["m"], F.lit(0))).alias("n")))
+            return let(sizes, in_blocks)
+
+        def in_blocks(sizes: Column) -> Column:
+            """Sums of whole blocks first, so that no match adds up all before it."""
+            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / SUMMED).cast("int")), lambda b: total(F.transform(F.slice(sizes, b * SUMMED + 1, SUMMED), lambda z: z["n"])))
 
-            def one(t: Column, i: Column) -> Column:
-                start = F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, b: a + b) + F.length(F.get(gaps, i)) + x["lead"]
-                return let(start, lambda at: F.struct(F.lit(prio).alias("prio"), (-F.length(t)).alias("neg"), x["ord"].alias("ord"), at.alias("start"), (at + F.length(t)).alias("end"), t.alias("text"), F.lit(confidence).alias("confidence")))
+            def placed(blocks: Column) -> Column:
+                def one(t: Column, i: Column) -> Column:
+                    block = F.floor(i / SUMMED).cast("int")
+                    start = total(F.slice(blocks, 1, block)) + total(F.transform(F.slice(sizes, block * SUMMED + 1, i - block * SUMMED), lambda z: z["n"])) + F.get(sizes, i)["g"] + x["lead"]
+                    return let(start, lambda at: F.struct(F.lit(prio).alias("prio"), (-F.length(t)).alias("neg"), x["ord"].alias("ord"), at.alias("start"), (at + F.length(t)).alias("end"), t.alias("text"), F.lit(confidence).alias("confidence")))
 
-            own = F.when(x["group"] == 0, x["m"]).otherwise(F.regexp_extract_all(text, x["regex"], x["group"]))
-            return F.transform(own, one)
+                return F.transform(own, one)
+
+            return let(blocks, placed)
 
         return let(F.split(text, x["regex"], -1), spans).cast(SPANS)
 
@@ -62,17 +75,21 @@ def in_pincode_context(text: Column, start: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.endswith(before, F.lit(w)) for w in PINCODE_CONTEXT])
 
 
-def raw_spans(text: Column, patterns: Sequence[Pattern], kind: str = "auto", context: bool = False) -> Column:
+def raw_spans(text: Column, patterns: Sequence[Pattern], kind: str | Column = "auto", context: bool = False, without: Sequence[int] = ()) -> Column:
     """Matches of all patterns that pass their check digits, not yet resolved.
 
-    ``kind``: the column's type; in free text and unknown columns identity numbers need no check digit. ``context``:
-    there, postal codes count only after a word that announces one.
+    ``kind``: the column's type, or a Column that says whether it is a loose one (free text or unknown), where identity
+    numbers need no check digit. ``context``:
+    there, postal codes count only after a word that announces one. ``without``: orders of patterns not looked for.
     """
     at = {p.name: i for i, p in enumerate(patterns)}
+    loose = kind if isinstance(kind, Column) else kind in LOOSE
     found = []
     for i, p in enumerate(patterns):
+        if i in without:
+            continue
         own = _matches(text, p, i)
-        for b in [patterns[at[n]] for n in p.skip_if if at.get(n, i) < i]:
+        for b in [patterns[at[n]] for n in p.skip_if if at.get(n, i) < i and at[n] not in without]:
             own = own.withField("m", F.when(~text.rlike(b.regex), own["m"]))
         found.append(own)
     if not found:
@@ -84,10 +101,12 @@ def raw_spans(text: Column, patterns: Sequence[Pattern], kind: str = "auto", con
         ok = F.lit(True)
         for i, p in enumerate(patterns):
             test = checksum.has_check(p.name)
-            if test and not (p.name == "AADHAAR" and kind in LOOSE):
-                ok = F.when(s["ord"] == i, test(s["text"])).otherwise(ok)
-            if context and p.name == "INDIAN_PINCODE" and kind in LOOSE:
-                ok = F.when(s["ord"] == i, in_pincode_context(text, s["start"])).otherwise(ok)
+            if test and not (p.name == "AADHAAR" and loose is True):
+                passed = test(s["text"]) if p.name != "AADHAAR" or loose is False else loose | test(s["text"])
+                ok = F.when(s["ord"] == i, passed).otherwise(ok)
+            if context and p.name == "INDIAN_PINCODE" and loose is not False:
+                here = in_pincode_context(text, s["start"])
+                ok = F.when(s["ord"] == i, here if loose is True else ~loose | here).otherwise(ok)
         return ok
 
     return F.filter(spans, passes)
@@ -136,7 +155,12 @@ def resolve(spans: Column) -> Column:
         by_start = F.array_sort(F.transform(kept, lambda x: F.struct(x["start"].alias("at"), x.alias("s"))))
         return F.transform(by_start, lambda x: x["s"])
 
-    return let(spans, lambda s: F.when(F.size(s) < 2, s).otherwise(greedy(s)))
+    def sorted_out(s: Column) -> Column:
+        """Most cells have no overlaps, which neighbours in order of their starts show."""
+        by_start = F.transform(F.array_sort(F.transform(s, lambda x: F.struct(x["start"].alias("at"), x.alias("s")))), lambda x: x["s"])
+        return let(by_start, lambda b: F.when(F.exists(F.zip_with(b, F.slice(b, 2, F.size(b)), lambda x, y: F.coalesce(y["start"] < x["end"], F.lit(False))), lambda x: x), greedy(s)).otherwise(b))
+
+    return let(spans, lambda s: F.when(F.size(s) < 2, s).otherwise(sorted_out(s)))
 
 
 def action(confidence: Column, config: Config) -> Column:
@@ -194,16 +218,17 @@ def attribute(order: Column, patterns: Sequence[Pattern], what: str) -> Column:
     return F.element_at(F.str_to_map(F.lit(",".join(f"{k}={v}" for k, v in table.items())), F.lit(","), F.lit("=")), order.cast("string"))
 
 
-def mask_text(text: Column, config: Config, kind: str = "auto", context: bool = False, with_names: bool = False, more: Column | None = None) -> Column:
+def mask_text(text: Column, config: Config, kind: str | Column = "auto", context: bool = False, with_names: bool | Column = False, more: Column | None = None, without: Sequence[int] = (), identity: Column | None = None) -> Column:
     """struct(masked_text, detections, pii_count) of a text column; null and blank texts stay as they are.
 
-    ``with_names`` adds name heuristics, ``more`` spans of a model detector. Raw text never leaves the expression:
-    detections hold a digest of the original.
+    ``with_names`` adds name heuristics, ``more`` spans of a model detector; patterns of the orders ``without`` are not
+    looked for. Where ``identity`` holds, a text without any span is a name as a whole. Raw text never leaves the
+    expression: detections hold a digest of the original.
     """
     patterns = config.effective()
-    found = raw_spans(text, patterns, kind, context)
-    if with_names:
-        found = F.concat(found, name_spans(text))
+    found = raw_spans(text, patterns, kind, context, without)
+    if with_names is not False:
+        found = F.concat(found, name_spans(text) if with_names is True else F.when(with_names, name_spans(text)).otherwise(_none()))
     if more is not None:
         found = F.concat(found, F.coalesce(more, _none()))
 
@@ -217,5 +242,15 @@ def mask_text(text: Column, config: Config, kind: str = "auto", context: bool =
         )
         return F.struct(splice(text, spans).alias("masked_text"), events.alias("detections"), F.size(spans).alias("pii_count"))
 
+    def whole_name(name: Column) -> Column:
+        event = F.struct(F.lit(TRIGGER_ORD).alias("ord"), F.lit(0).alias("start"), F.length(text).alias("end"), F.substring(F.sha2(F.concat(F.lit(config.salt), F.trim(text)), 256), 1, 12).alias("original"), name.alias("masked"), F.lit(1.0).alias("confidence"), F.lit("REDACTED").alias("action"))
+        return F.struct(name.alias("masked_text"), F.array(event).alias("detections"), F.lit(1).alias("pii_count"))
+
+    def spliced(raw: Column) -> Column:
+        return let(resolve(raw), lambda r: let(described(r, patterns, config), result))
+
+    def decided(raw: Column) -> Column:
+        return F.when(identity & (F.size(raw) == 0), let(masks.mask(text, "name", config.salt), whole_name)).otherwise(spliced(raw))
+
     empty = F.struct(text.alias("masked_text"), F.array().cast("array<struct<ord:int,start:int,end:int,original:string,masked:string,confidence:double,action:string>>").alias("detections"), F.lit(0).alias("pii_count"))
-    return F.when(text.isNull() | (F.trim(text) == ""), empty).otherwise(let(resolve(found), lambda r: let(described(r, patterns, config), result)))
+    return F.when(text.isNull() | (F.trim(text) == ""), empty).otherwise(spliced(found) if identity is None else let(found, decided))

@@ -41,19 +41,25 @@ def audit(raw: DataFrame, masked: DataFrame, key: str, columns: list[str] | None
 
 
 def containment(raw: DataFrame, masked: DataFrame, key: str, columns: list[str], words: int = 4) -> DataFrame:
-    """(column, value, n): raw values found inside masked cells, whole words, up to ``words`` words long.
+    """(column, value, n): raw values found inside masked cells, as whole words, and in how many cells.
 
-    Word runs of masked cells meet raw values in one hash join; nothing is compared pairwise.
+    Runs of ``words`` words at most meet raw values in one hash join. Longer values are sought by their first
+    ``words`` words in the same way, and the words that follow decide; nothing is compared pairwise.
     """
     norm = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    values = melt(raw, key, columns).select("column", norm(F.col("value")).alias("value")).where("value <> ''").distinct().withColumn("k", F.size(F.split("value", " "))).where(F.col("k") <= words)
+    values = melt(raw, key, columns).select("column", norm(F.col("value")).alias("value")).where("value <> ''").distinct().withColumn("w", F.split("value", " "))
     tokens = F.filter(F.split(norm(F.col("value")), " "), lambda t: t != "")
-    cells = melt(masked, key, [c for c in masked.columns if c != key]).where("value IS NOT NULL").select("key", tokens.alias("t"))
-    bare = F.transform("t", lambda t: F.regexp_replace(t, r"^[^\w+]+|[^\w]+$", ""))
-    cells = cells.select("key", bare.alias("t"))
-    runs = F.flatten(F.array(*[F.transform(F.when(F.size("t") >= k, F.sequence(F.lit(1), F.size("t") - (k - 1))).otherwise(F.array().cast("array<int>")), _run(k)) for k in range(1, words + 1)]))
+    cells = melt(masked, key, [c for c in masked.columns if c != key]).where("value IS NOT NULL").select("key", F.col("column").alias("cell"), tokens.alias("t"))
+    cells = cells.select("key", "cell", F.transform("t", lambda t: F.regexp_replace(t, r"^[^\w+]+|[^\w]+$", "")).alias("t"))
+    places = lambda k: F.when(F.size("t") >= k, F.sequence(F.lit(1), F.size("t") - (k - 1))).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.array(*[F.transform(places(k), _run(k)) for k in range(1, words + 1)]))
     grams = cells.select(F.explode(F.array_distinct(runs)).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
-    return values.join(grams, "value").select("column", "value", "n")
+    short = values.where(F.size("w") <= words).join(grams, "value").select("column", "value", "n")
+    long = values.where(F.size("w") > words).withColumn("head", F.array_join(F.slice("w", 1, words), " "))
+    heads = cells.select("key", "cell", F.explode(F.transform(places(words), lambda i: F.struct(i.alias("at"), _run(words)(i).alias("head")))).alias("h")).select("key", "cell", "h.at", "h.head")
+    maybe = heads.join(long, "head").select("key", "cell", "at", "column", "value", F.size("w").alias("k"))
+    found = maybe.join(cells, ["key", "cell"]).where(F.array_join(F.slice("t", F.col("at"), F.col("k")), " ") == F.col("value"))
+    return short.unionByName(found.select("key", "cell", "column", "value").distinct().groupBy("column", "value").agg(F.count("*").alias("n")))
 
 
 def _run(k: int):

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterable
+from functools import partial
+from importlib.util import find_spec
 from typing import Protocol
 
 import pyarrow as pa
@@ -14,10 +17,12 @@ from cloakspark.functions import names, spans
 from cloakspark.functions.patterns import NER_METHODS
 
 CHUNK, OVERLAP, SNAP = 1200, 250, 100
+#: Chunks that a detector with ``batch`` gets at once, and rows whose chunks are gathered.
+BATCH, ROWS = 32, 256
 
 
 class Detector(Protocol):
-    """Made once per worker by a factory; finds (label, start, end, confidence) in one chunk."""
+    """Made once per task by a factory; finds (label, start, end, confidence) in one chunk. ``batch`` may take several at once."""
 
     def __call__(self, chunk: str) -> Iterable[tuple[str, int, int, float]]: ...
 
@@ -46,14 +51,62 @@ def chunk_bounds(text: str, size: int = CHUNK, overlap: int = OVERLAP, snap: int
     return out
 
 
+def scan_chunks(detector: Detector, chunks: list[str]) -> list[list[tuple[str, int, int, float]]]:
+    """Findings of each chunk: BATCH chunks at a time where the detector has ``batch``, else one by one."""
+    if not hasattr(detector, "batch"):
+        return [list(detector(c)) for c in chunks]
+    return [list(f) for k in range(0, len(chunks), BATCH) for f in detector.batch(chunks[k : k + BATCH])]
+
+
+def detect_texts(texts: list[str | None], detector: Detector, threshold: float) -> list[list[tuple[str, int, int, float]]]:
+    """Spans of each text over all of its chunks; the first of overlapping ones stays. Chunks of all texts go together."""
+    bounds = [chunk_bounds(t or "") for t in texts]
+    found = iter(scan_chunks(detector, [t[a:b] for t, own in zip(texts, bounds, strict=True) for a, b in own]))
+    out = []
+    for own in bounds:
+        starts: list[int] = []
+        kept: list[tuple[str, int, int, float]] = []
+        for a, _ in own:
+            for label, s, e, c in next(found):
+                s, e = s + a, e + a
+                k = bisect(starts, s)
+                if c >= threshold and not (k and kept[k - 1][2] > s) and not (k < len(kept) and kept[k][1] < e):
+                    starts.insert(k, s)
+                    kept.insert(k, (label, s, e, float(c)))
+        out.append(kept)
+    return out
+
+
 def detect_text(text: str | None, detector: Detector, threshold: float) -> list[tuple[str, int, int, float]]:
-    """Spans over all chunks; the first of overlapping ones stays."""
-    kept: list[tuple[str, int, int, float]] = []
-    for a, b in chunk_bounds(text or ""):
-        for label, s, e, c in detector(text[a:b]):
-            if c >= threshold and not any(s + a < y and x < e + a for _, x, y, _ in kept[-64:]):
-                kept.append((label, s + a, e + a, float(c)))
-    return kept
+    return detect_texts([text], detector, threshold)[0]
+
+
+def available(module: str = "gliner") -> bool:
+    """Whether the package of a model detector is installed here."""
+    return find_spec(module) is not None
+
+
+class ModelDetector:
+    """A span model of the optional package ``gliner``, by name or folder, as a detector that takes batches of chunks."""
+
+    def __init__(self, model: str, labels: tuple[str, ...] = tuple(NER_METHODS), threshold: float = 0.4):
+        if not available():
+            raise RuntimeError("the package gliner is not installed; use DictionaryDetector or another detector")
+        from gliner import GLiNER
+
+        self.model, self.labels, self.threshold = GLiNER.from_pretrained(model), list(labels), threshold
+
+    def batch(self, chunks: list[str]):
+        for found in self.model.batch_predict_entities(chunks, self.labels, threshold=self.threshold):
+            yield [(x["label"], x["start"], x["end"], x["score"]) for x in found if x["label"] in NER_METHODS]
+
+    def __call__(self, chunk: str):
+        return next(iter(self.batch([chunk])))
+
+
+def detector_factory(model: str | None = None) -> Callable[[], Detector]:
+    """What makes a detector in each task: of ``model`` if one is named and its package is there, else the dictionary."""
+    return DictionaryDetector if model is None or not available() else partial(ModelDetector, model)
 
 
 class DictionaryDetector:
@@ -77,12 +130,14 @@ def with_model_spans(df: DataFrame, columns: list[str], factory: Callable[[], De
 
     def of(batches):
         detector = factory()
-        for b in batches:
+        for b in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             made = []
             for i in at:
-                rows = []
-                for t in b.column(i).to_pylist():
-                    rows.append([{"prio": 1, "neg": s - e, "ord": orders[label], "start": s, "end": e, "text": t[s:e], "confidence": c} for label, s, e, c in detect_text(t, detector, threshold)])
+                texts = b.column(i).to_pylist()
+                rows = [
+                    [{"prio": 1, "neg": s - e, "ord": orders[label], "start": s, "end": e, "text": t[s:e], "confidence": c} for label, s, e, c in found]
+                    for t, found in zip(texts, detect_texts(texts, detector, threshold), strict=True)
+                ]
                 made.append(pa.array(rows, kind))
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=names_out)
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Sequence
 from math import log
+from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakspark.functions.expr import bucketed, let
+from cloakspark.sources.scratch import stored
 
-BINS, TINY, CUTS = 99, 1e-10, 64
+BINS, TINY, CUTS, ENCODED = 99, 1e-10, 64, 256
 
 
 def k_anonymity(df: DataFrame, quasi: list[str]) -> DataFrame:
@@ -34,13 +40,14 @@ def ks(df: DataFrame, a: str, b: str) -> DataFrame:
 def ks_of(both: DataFrame) -> DataFrame:
     """As ``ks``, from rows (v, x, y) with x = 1 for the first and y = 1 for the second."""
     both = both.where("v IS NOT NULL")
-    cuts = both.agg(F.percentile_approx("v", [i / CUTS for i in range(1, CUTS)], 1000)).first()[0] or []
+    n = max(CUTS, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = both.agg(F.percentile_approx("v", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     counts = both.groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).withColumn("r", bucketed(F.col("v"), sorted(set(cuts))))
     w = Window.partitionBy("r").orderBy("v")
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # CUTS rows
+    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     sums = counts.groupBy("r").agg(F.sum("x").alias("rx"), F.sum("y").alias("ry"))
     sums = sums.select("r", F.coalesce(F.sum("rx").over(before), F.lit(0)).alias("bx"), F.coalesce(F.sum("ry").over(before), F.lit(0)).alias("by"), F.sum("rx").over(Window.partitionBy()).alias("nx"), F.sum("ry").over(Window.partitionBy()).alias("ny"))
-    run = counts.select("r", F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy")).join(F.broadcast(sums), "r")  # CUTS rows
+    run = counts.select("r", F.sum("x").over(w).alias("cx"), F.sum("y").over(w).alias("cy")).join(F.broadcast(sums), "r")  # a row a range
     gap = F.abs((F.col("cx") + F.col("bx")) / F.col("nx") - (F.col("cy") + F.col("by")) / F.col("ny"))
     return run.agg(F.max(F.when((F.col("nx") > 0) & (F.col("ny") > 0), gap)).alias("statistic")).withColumn("utility", F.greatest(F.lit(0.0), 1 - F.col("statistic")))
 
@@ -113,21 +120,68 @@ def kernel_density(df: DataFrame, column: str, points: int = 50, bins: int = 200
     return counts.select("at", "count", grid).groupBy("point").agg((F.sum(one) / (n * band * (2 * 3.141592653589793) ** 0.5)).alias("density"))
 
 
-def report(raw: DataFrame, masked: DataFrame, key: str, quasi: tuple[str, ...] = ("Age", "Pincode")) -> dict:
-    """All metrics of a masked table against its raw one, row by row on ``key``; one dictionary, a few jobs a column."""
+class Encoder(Protocol):
+    """Made once per task by a factory; gives a vector for each text."""
+
+    def __call__(self, texts: list[str]) -> Sequence[Sequence[float]]: ...
+
+
+class HashingEncoder:
+    """The default where no model is installed: counts of words and of letter triples by hash, in SIZE places."""
+
+    SIZE = 512
+
+    def __call__(self, texts: list[str]):
+        out = np.zeros((len(texts), self.SIZE))
+        for row, t in zip(out, texts, strict=True):
+            for w in t.lower().split():
+                for x in (w, *(w[i : i + 3] for i in range(len(w) - 2))):
+                    row[zlib.crc32(x.encode()) % self.SIZE] += 1
+        return out
+
+
+def encoded_likeness(pairs: DataFrame, a: str, b: str, factory: Callable[[], Encoder] = HashingEncoder) -> DataFrame:
+    """``pairs`` with ``likeness``: the cosine of the vectors that an encoder gives two text columns, in batches of ENCODED.
+
+    A null text counts as empty; where a vector is zero the likeness is null.
+    """
+    at = [pairs.columns.index(c) for c in (a, b)]
+    names = [*pairs.columns, "likeness"]
+
+    def of(batches):
+        encode = factory()
+        for batch in (whole.slice(k, ENCODED) for whole in batches for k in range(0, whole.num_rows, ENCODED)):
+            x, y = (np.asarray(encode([t or "" for t in batch.column(i).to_pylist()]), float) for i in at)
+            size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+            cosine = (x * y).sum(1) / np.where(size > 0, size, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cosine, mask=size == 0)], names=names)
+
+    return pairs.mapInArrow(of, T.StructType([*pairs.schema.fields, T.StructField("likeness", T.DoubleType())]))
+
+
+def report(raw: DataFrame, masked: DataFrame, key: str, quasi: tuple[str, ...] = ("Age", "Pincode"), encoder: Callable[[], Encoder] | None = None) -> dict:
+    """All metrics of a masked table against its raw one, row by row on ``key``; one dictionary, a few jobs a column.
+
+    The tables are joined once and the join is kept in the shared folder. ``encoder``: a factory; with it texts are also
+    compared by the cosine of their vectors.
+    """
     kinds = {f.name: f.dataType for f in raw.schema}
     new = {f.name: f.dataType for f in masked.schema}
     changed = [r.asDict() for r in changed_columns(raw, masked, key).orderBy("column").collect()]
     out: dict = {"same_shape": same_shape(raw, masked), "columns": changed, "numeric": [], "text": []}
-    for c in kinds:
-        if c == key or c not in new:
-            continue
-        pair = raw.select(key, F.col(f"`{c}`").alias("a")).join(masked.select(key, F.col(f"`{c}`").alias("b")), key)
+    both = [c for c in kinds if c != key and c in new]
+    pairs = stored(raw.sparkSession, raw.select(key, *[F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(both)]).join(masked.select(key, *[F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(both)]), key), "report")
+    for i, c in enumerate(both):
+        x, y = F.col(f"a{i}"), F.col(f"b{i}")
         if isinstance(kinds[c], T.NumericType) and isinstance(new[c], T.NumericType):
-            v = pair.select(F.explode(F.array(F.struct(F.col("a").cast("double").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")), F.struct(F.col("b").cast("double").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))).alias("s")).select("s.*")
-            out["numeric"].append({"column": c, **ks_of(v).first().asDict(), **divergences(v).first().asDict(), "js_share": divergences(v).first()["js"] / log(2)})
+            v = pairs.select(F.explode(F.array(F.struct(x.cast("double").alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")), F.struct(y.cast("double").alias("v"), F.lit(0).alias("x"), F.lit(1).alias("y")))).alias("s")).select("s.*")
+            found = divergences(v).first().asDict()
+            out["numeric"].append({"column": c, **ks_of(v).first().asDict(), **found, "js_share": found["js"] / log(2)})
         elif isinstance(kinds[c], T.StringType):
-            out["text"].append({"column": c, "jaccard": pair.agg(F.avg(jaccard(F.coalesce("a", F.lit("")), F.coalesce(F.col("b").cast("string"), F.lit(""))))).first()[0]})
+            texts = pairs.select(F.coalesce(x, F.lit("")).alias("a"), F.coalesce(y.cast("string"), F.lit("")).alias("b"))
+            out["text"].append({"column": c, "jaccard": texts.agg(F.avg(jaccard(F.col("a"), F.col("b")))).first()[0]})
+            if encoder:
+                out["text"][-1]["cosine"] = encoded_likeness(texts, "a", "b", encoder).agg(F.avg("likeness")).first()[0]
     out["k_anonymity"] = {"raw": k_anonymity(raw, list(quasi)).first()["k"], "masked": k_anonymity(masked, list(quasi)).first()["k"]}
     strings = [r for r in changed if isinstance(kinds[r["column"]], T.StringType) and r["changed"]]
     cells = sum(r["total"] for r in strings)

@@ -16,12 +16,12 @@ from cloakspark.operators.transforms import uniform
 
 # Statuses, platforms and comments of generated rows.
 STATUSES = ("SUCCESS", "FAILED", "PENDING")
-PLATFORMS = ("Blostem_Direct", "Upstox_Partner", "MobiKwik_Partner", "Zerodha_Partner")
+PLATFORMS = ("Direct", "Partner_A", "Partner_B", "Partner_C")
 COMMENTS = (
     "FD close karna hai", "Mera interest kab aayega?", "Nominee add karna hai please", "Account balance check karo", "Mujhe loan chahiye FD par", "Kyc update kaise karein?",
     "Customer care ka number do", "Branch transfer request", "Sir, mere account se paise kat gaye", "Excellent service, thank you",
 )
-GRID, CATEGORIES = 100, 1000
+GRID, CATEGORIES, OTHER = 100, 1000, "(other)"
 
 
 def generate(spark: SparkSession, n: int = 100, seed: str = "fixture", year: int = 2025) -> DataFrame:
@@ -53,11 +53,12 @@ class Copula:
     id_column: str | None = None
 
 
-def fit(df: DataFrame, id_column: str | None = None) -> Copula:
+def fit(df: DataFrame, id_column: str | None = None, categories: int = CATEGORIES) -> Copula:
     """Quantile grids, category shares and rank correlations; the model's size depends on columns alone.
 
-    Numeric columns get GRID + 1 quantiles; strings get shares of their CATEGORIES most frequent values. Correlations are
-    those of grid ranks, turned into those of normal scores by 2 sin(pi r / 6).
+    Numeric columns get GRID + 1 quantiles; strings get shares of their ``categories`` most frequent values, and all others
+    together the share of a class of their own, OTHER. Correlations are those of grid ranks, turned into those of normal
+    scores by 2 sin(pi r / 6).
     """
     out = Copula(id_column=id_column)
     fields = [f for f in df.schema if f.name != id_column]
@@ -80,10 +81,13 @@ def fit(df: DataFrame, id_column: str | None = None) -> Copula:
         out.factor = np.linalg.cholesky(m / np.sqrt(np.outer(np.diag(m), np.diag(m))))
     for f in fields:
         if isinstance(f.dataType, T.StringType):
-            top = df.where(F.col(f"`{f.name}`").isNotNull()).groupBy(f"`{f.name}`").count().orderBy(F.desc("count"), f"`{f.name}`").limit(CATEGORIES).collect()
-            total = sum(r[1] for r in top)
+            counts = df.where(F.col(f"`{f.name}`").isNotNull()).groupBy(F.col(f"`{f.name}`").alias("value")).count()
+            top = [tuple(r) for r in counts.orderBy(F.desc("count"), "value").limit(categories).collect()]
+            total = counts.agg(F.sum("count")).first()[0] or 0
+            if (rest := total - sum(n for _, n in top)) > 0:
+                top.append((OTHER, rest))
             if total:
-                out.categorical[f.name] = ([r[0] for r in top], list(np.cumsum([r[1] / total for r in top])))
+                out.categorical[f.name] = ([v for v, _ in top], list(np.cumsum([n / total for _, n in top])))
     return out
 
 

@@ -91,7 +91,46 @@ def conversation_mask(spark, sf_dir):
 @_query
 def pages_mask(spark, sf_dir):
     r = spans.mask_text(F.col("html"), CONFIG)
-    return _read(spark, sf_dir, "pages").select("page_id", r.alias("r")).select("page_id", F.length("r.masked_text").cast("long").alias("n_chars"), F.col("r.pii_count").cast("long").alias("pii_count"))
+    return _read(spark, sf_dir, "pages").select("page_id", r.alias("r")).select("page_id", "r.masked_text", F.col("r.pii_count").cast("long").alias("pii_count"))
+
+
+#: A text of each pattern: numbers stand for so many digits of the customer's key. Cards and tax numbers get a check digit.
+VECTORS: dict[str, list[str | int]] = {
+    "INDIAN_PAN": ["pan ABCDE", 4, "F here"], "AADHAAR": ["uid 2", 3, " ", 4, " ", 4], "IFSC_CODE": ["ifsc HDFC0", 6], "CREDIT_CARD": ["card ", "4", 14], "EMAIL": ["mail user", 4, "@mail.com now"],
+    "UPI_ID": ["pay shop", 4, ".@ybl please"], "INDIAN_PHONE": ["call +91 98765", 5], "INDIAN_PINCODE": ["pin 56", 4], "DATE_OF_BIRTH": ["born 15/08/19", 2], "DATE_OF_BIRTH_ISO": ["born 19", 2, "-08-15"],
+    "INDIAN_PASSPORT": ["passport K1", 6], "INDIAN_VEHICLE": ["car KA-01-AB-", 4], "BANK_ACCOUNT": ["account ", 11], "VOTER_ID": ["voter ABC", 7], "DRIVING_LICENSE": ["licence KA05 ", 11],
+    "GSTIN": ["tax ", "27AAPFU", 4, "F1Z"], "CIN": ["firm U", 5, "KA2012PTC", 6], "UDYAM_REG": ["UDYAM-KA-03-", 7], "TAN": ["tan BLRA", 5, "B"], "EPFO_UAN": ["uan 10", 10], "IP_ADDRESS": ["from 10.0.", 1, ".", 2],
+    "MAC_ADDRESS": ["mac 0A:1B:2C:3D:", 2, ":", 2], "VEHICLE_CHASSIS_VIN": ["vin MA3EYD32S00", 6], "SWIFT_BIC": ["swift HDFCIN", 2], "TRANSACTION_REF": ["ref TXN", 8], "ATTACHED_NAME": ["paid -Priya Sharma, ", 3],
+    "PLAIN": ["nothing to see in ", 2, " words"],
+}
+
+
+def _vectors(spark, sf_dir):
+    n = F.col("c_custkey") * 7919
+    part = lambda x: F.lit(x) if isinstance(x, str) else F.lpad((n % 10**x).cast("string"), x, "0")
+    check = {"CREDIT_CARD": checksum.luhn_digit, "GSTIN": checksum.gstin_digit}
+
+    def text(kind, parts):
+        body = F.concat(*map(part, parts[1:] if kind in check else parts))
+        return F.concat(F.lit(parts[0]), body, check[kind](body)) if kind in check else body
+
+    rows = [F.struct(F.lit(k).alias("kind"), text(k, p).alias("text")) for k, p in VECTORS.items()]
+    t = _read(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*rows)).alias("r"))
+    return t.select(F.concat_ws(":", "c_custkey", "r.kind").alias("id"), "r.kind", "r.text")
+
+
+@_query
+def pattern_vectors(spark, sf_dir):
+    """Every pattern on a text made for it."""
+    t = _vectors(spark, sf_dir).select("id", "kind", F.explode(spans.raw_spans(F.col("text"), PATTERNS)).alias("s"))
+    return t.select("kind", "id", spans.attribute(F.col("s.ord"), PATTERNS, "name").alias("pattern"), F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
+
+
+@_query
+def mask_vectors(spark, sf_dir):
+    """Every pattern's replacement in its text."""
+    r = spans.mask_text(F.col("text"), CONFIG)
+    return _vectors(spark, sf_dir).select("id", r.alias("r")).select("id", "r.masked_text", F.col("r.pii_count").cast("long").alias("pii_count"))
 
 
 @_query
@@ -146,7 +185,7 @@ def pseudonymize_events(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", transforms.pseudonymize(F.col("user_id").cast("string"), SALT).alias("user_id"))
 
 
-IDS = ("pan", "aadhaar", "ifsc", "credit_card", "phone_number", "pincode", "passport", "vehicle_registration", "bank_account", "email", "upi_id", "gstin", "date_of_birth_iso", "transaction_ref")
+IDS = ("pan", "aadhaar", "ifsc", "credit_card", "phone_number", "pincode", "passport", "vehicle_registration", "bank_account", "email", "upi_id", "gstin", "date_of_birth", "date_of_birth_iso", "transaction_ref", "address", "organization")
 
 
 @_query
@@ -312,4 +351,4 @@ def export_roundtrip(spark, sf_dir):
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
-ORACLES = oracles.build()
+ORACLES = oracles.build(IDS, VECTORS)

@@ -6,6 +6,16 @@ from cloakspark.functions import checksum, masks, names
 from cloakspark.functions.patterns import PATTERNS
 
 SALT = "catalogue"
+# Verhoeff's tables as published (product in the dihedral group of ten, powers of the permutation, inverses).
+PRODUCT = [
+    0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 0, 6, 7, 8, 9, 5, 2, 3, 4, 0, 1, 7, 8, 9, 5, 6, 3, 4, 0, 1, 2, 8, 9, 5, 6, 7, 4, 0, 1, 2, 3, 9, 5, 6, 7, 8,
+    5, 9, 8, 7, 6, 0, 4, 3, 2, 1, 6, 5, 9, 8, 7, 1, 0, 4, 3, 2, 7, 6, 5, 9, 8, 2, 1, 0, 4, 3, 8, 7, 6, 5, 9, 3, 2, 1, 0, 4, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0,
+]
+POWERS = [
+    0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 5, 7, 6, 2, 8, 3, 0, 9, 4, 5, 8, 0, 3, 7, 9, 6, 1, 4, 2, 8, 9, 1, 6, 0, 4, 3, 5, 2, 7,
+    9, 4, 5, 3, 1, 2, 6, 8, 7, 0, 4, 2, 8, 6, 5, 7, 3, 9, 0, 1, 2, 7, 9, 3, 8, 0, 6, 4, 1, 5, 7, 0, 4, 6, 9, 1, 3, 2, 5, 8,
+]
+INVERSE = [0, 4, 3, 2, 1, 5, 6, 7, 8, 9]
 
 
 def _q(s: str) -> str:
@@ -16,10 +26,10 @@ def _list(values) -> str:
     return "[" + ",".join(_q(v) if isinstance(v, str) else str(v) for v in values) + "]"
 
 
-def _ascii_words(name: str) -> str:
+def _ascii_words(name: str, text: str = "text") -> str:
     """DuckDB's word boundary knows ASCII alone, so other letters become an ASCII word character that the pattern does not take."""
     mark = "_" if name == "ATTACHED_NAME" else "q"
-    return f"regexp_replace(text, '[\\x{{00AA}}\\x{{00B5}}\\x{{00BA}}\\x{{00C0}}-\\x{{00D6}}\\x{{00D8}}-\\x{{00F6}}\\x{{00F8}}-\\x{{02C1}}\\x{{0370}}-\\x{{052F}}\\x{{0900}}-\\x{{1FFF}}\\x{{3041}}-\\x{{318E}}\\x{{3400}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7A3}}]', '{mark}', 'g')"
+    return f"regexp_replace({text}, '[\\x{{00AA}}\\x{{00B5}}\\x{{00BA}}\\x{{00C0}}-\\x{{00D6}}\\x{{00D8}}-\\x{{00F6}}\\x{{00F8}}-\\x{{02C1}}\\x{{0370}}-\\x{{052F}}\\x{{0900}}-\\x{{1FFF}}\\x{{3041}}-\\x{{318E}}\\x{{3400}}-\\x{{9FFF}}\\x{{AC00}}-\\x{{D7A3}}]', '{mark}', 'g')"
 
 
 def _digits_at(s: str, i: str) -> str:
@@ -32,7 +42,7 @@ def luhn(s: str, shift: int = 0) -> str:
 
 
 def verhoeff(s: str, shift: int = 0) -> str:
-    return f"list_reduce(generate_series(0, length({s}) - 1), lambda c, i: ({_list(checksum.PRODUCT)})[(c * 10 + ({_list(checksum.POWERS)})[((i + {shift}) % 8) * 10 + {_digits_at(s, 'i')} + 1] + 1)::INT]::BIGINT, 0::BIGINT)"
+    return f"list_reduce(generate_series(0, length({s}) - 1), lambda c, i: ({_list(PRODUCT)})[(c * 10 + ({_list(POWERS)})[((i + {shift}) % 8) * 10 + {_digits_at(s, 'i')} + 1] + 1)::INT]::BIGINT, 0::BIGINT)"
 
 
 def gstin(b: str) -> str:
@@ -114,47 +124,185 @@ def _laplace(value: str, key: str, scale: str, tag: str) -> str:
     return f"({value} - ({scale}) * sign({u}) * ln(1 - 2 * abs({u})))"
 
 
-def _spans() -> str:
-    """doc_id, pattern, severity, start_at, end_at of all matches with valid check digits."""
+def _spans(source: str = "documents", key: str = "doc_id", text: str = "text") -> str:
+    """key, o, pattern, severity, start_at, end_at of all matches with valid check digits."""
     parts = []
-    for p in PATTERNS:
-        re, t = _q(p.regex), _ascii_words(p.name)
+    for i, p in enumerate(PATTERNS):
+        re, t = _q(p.regex), _ascii_words(p.name, text)
         email = next(x for x in PATTERNS if x.name == "EMAIL")
-        where = f"WHERE NOT regexp_matches({_ascii_words('EMAIL')}, {_q(email.regex)})" if p.skip_if else ""
+        where = f"WHERE NOT regexp_matches({_ascii_words('EMAIL', text)}, {_q(email.regex)})" if p.skip_if else ""
         ok = {"CREDIT_CARD": f"{luhn('x')} % 10 = 0", "GSTIN": f"{gstin('x')} = right(x, 1)"}.get(p.name, "true")
         parts.append(f"""
-SELECT doc_id, '{p.name}' AS pattern, '{p.severity}' AS severity, s + {p.lead} AS start_at, s + length(x) AS end_at FROM (
-  SELECT doc_id, m[k] AS x, (list_sum(list_transform(g[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda y: length(y))), 0))::BIGINT AS s
-  FROM (SELECT doc_id, regexp_extract_all(t, {re}) AS m, regexp_split_to_array(t, {re}) AS g, unnest(generate_series(1, len(regexp_extract_all(t, {re})))) AS k
-        FROM (SELECT doc_id, {t} AS t, text FROM documents {where}))) WHERE {ok}""")
+SELECT {key}, {i} AS o, '{p.name}' AS pattern, '{p.severity}' AS severity, s + {p.lead} AS start_at, s + length(x) AS end_at FROM (
+  SELECT {key}, m[k] AS x, (list_sum(list_transform(g[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda y: length(y))), 0))::BIGINT AS s
+  FROM (SELECT {key}, regexp_extract_all(t, {re}) AS m, regexp_split_to_array(t, {re}) AS g, unnest(generate_series(1, len(regexp_extract_all(t, {re})))) AS k
+        FROM (SELECT {key}, {t} AS t FROM {source} {where}))) WHERE {ok}""")
     return "\nUNION ALL".join(parts)
 
 
-def _ids() -> str:
-    h = {m: f"h_{m}" for m in ("pan", "aadhaar", "ifsc", "credit_card", "phone_number", "pincode", "passport", "vehicle_registration", "bank_account", "email", "upi_id", "gstin", "date_of_birth_iso", "transaction_ref")}
-    base = ", ".join(f"{_digest('c_name', m)} AS {c}" for m, c in h.items())
-    uid = f"{_chars(h['aadhaar'], 0, 1, '23456789')} || {_digits(h['aadhaar'], 1, 10)}"
-    card = f"'4' || {_digits(h['credit_card'], 0, 14)}"
-    g = h["gstin"]
-    body = f"lpad(({_byte(g, 0)} % 35 + 1)::VARCHAR, 2, '0') || {_chars(g, 1, 5, masks.UPPER)} || {_digits(g, 6, 4)} || {_chars(g, 10, 1, masks.UPPER)} || {_chars(g, 11, 1, '123456789' + masks.UPPER)} || 'Z'"
-    v = h["vehicle_registration"]
+def _resolved(source: str = "documents", key: str = "doc_id", text: str = "text", more: str = "") -> str:
+    """As ``_spans`` and the rows of ``more``, without overlaps: patterns before models (o from 1000), longer spans first, then earlier patterns, then earlier places."""
+    one = "{'o': o, 's': start_at, 'e': end_at, 'pattern': pattern, 'severity': severity}"
+    return f"""SELECT {key}, r.o AS o, r.pattern AS pattern, r.severity AS severity, r.s AS start_at, r.e AS end_at FROM (
+  SELECT {key}, unnest(list_reduce(list([{one}] ORDER BY o >= 1000, start_at - end_at, o, start_at),
+    lambda acc, y: CASE WHEN len(list_filter(acc, lambda k: k.s < y[1].e AND y[1].s < k.e)) > 0 THEN acc ELSE list_concat(acc, y) END)) AS r
+  FROM ({_spans(source, key, text)}{more and f' UNION ALL {more}'}) GROUP BY {key})"""
+
+
+def _replaced() -> str:
+    """CASE over m (method) of the replacement of v, whose digest is h; uid, card and body are prepared from h."""
+    v = "h"
+    birth = f"(DATE '2025-01-01' - ({masks.YOUNGEST} + {_number('h', 0, 8)} % {masks.AGES})::INT)"
     made = {
-        "pan": f"{_chars(h['pan'], 0, 5, masks.UPPER)} || {_digits(h['pan'], 5, 4)} || {_chars(h['pan'], 9, 1, masks.UPPER)}",
-        "aadhaar": f"uid || ({_list(checksum.INVERSE)})[({verhoeff('uid', 1)} + 1)::INT]",
-        "ifsc": f"{_chars(h['ifsc'], 0, 4, masks.UPPER)} || '0' || {_chars(h['ifsc'], 4, 6, masks.ALNUM)}",
+        "pan": f"{_chars('h', 0, 5, masks.UPPER)} || {_digits('h', 5, 4)} || {_chars('h', 9, 1, masks.UPPER)}",
+        "aadhaar": f"uid || ({_list(INVERSE)})[({verhoeff('uid', 1)} + 1)::INT]",
+        "ifsc": f"{_chars('h', 0, 4, masks.UPPER)} || '0' || {_chars('h', 4, 6, masks.ALNUM)}",
         "credit_card": f"card || ((10 - {luhn('card', 1)} % 10) % 10)::BIGINT",
-        "phone_number": f"{_chars(h['phone_number'], 0, 1, '6789')} || {_digits(h['phone_number'], 1, 9)}",
-        "pincode": f"(110001 + {_number(h['pincode'], 0, 8)} % 745117)::VARCHAR",
-        "passport": f"{_chars(h['passport'], 0, 1, masks.UPPER)} || {_chars(h['passport'], 1, 1, '123456789')} || {_digits(h['passport'], 2, 6)}",
+        "phone_number": f"CASE WHEN starts_with(v, '+91') THEN '+91 ' ELSE '' END || {_chars('h', 0, 1, '6789')} || {_digits('h', 1, 9)}",
+        "pincode": f"(110001 + {_number('h', 0, 8)} % 745117)::VARCHAR",
+        "passport": f"{_chars('h', 0, 1, masks.UPPER)} || {_chars('h', 1, 1, '123456789')} || {_digits('h', 2, 6)}",
         "vehicle_registration": f"{_chars(v, 0, 2, masks.UPPER)} || '-' || {_digits(v, 2, 2)} || '-' || {_chars(v, 4, 2, masks.UPPER)} || '-' || {_digits(v, 6, 4)}",
-        "bank_account": _run(h["bank_account"], "CASE WHEN length(c_name) >= 9 THEN length(c_name) ELSE 12 END"),
-        "email": f"'user' || substr({h['email']}, 1, 10) || '@example.org'",
-        "upi_id": f"'user' || substr({h['upi_id']}, 1, 8) || '@' || {_pick(masks.UPI_HANDLES, _byte(h['upi_id'], 20))}",
+        "bank_account": _run("h", "CASE WHEN length(v) >= 9 THEN length(v) ELSE 12 END"),
+        "email": "'user' || substr(h, 1, 10) || '@example.org'",
+        "upi_id": f"'user' || substr(h, 1, 8) || '@' || {_pick(masks.UPI_HANDLES, _byte('h', 20))}",
         "gstin": f"body || {gstin('body')}",
-        "date_of_birth_iso": f"strftime(DATE '2025-01-01' - ({masks.YOUNGEST} + {_number(h['date_of_birth_iso'], 0, 8)} % {masks.AGES})::INT, '%Y-%m-%d')",
-        "transaction_ref": obfuscate("c_name", h["transaction_ref"]),
+        "date_of_birth": f"CASE WHEN contains(v, '/') AND NOT regexp_matches(v, '^[0-9]{{4}}/') THEN strftime({birth}, '%d/%m/%Y') WHEN regexp_matches(v, '^[0-9]{{4}}[-/]') THEN strftime({birth}, '%Y-%m-%d') ELSE strftime({birth}, '%d-%m-%Y') END",
+        "date_of_birth_iso": f"strftime({birth}, '%Y-%m-%d')",
+        "transaction_ref": f"CASE WHEN regexp_matches(v, '^[A-Z]+[0-9]+$') THEN regexp_extract(v, '^[A-Z]+') || {_run('h', 'length(regexp_extract(v, $$[0-9]+$$))')} ELSE {obfuscate('v', 'h')} END",
+        "address": f"({_number('h', 0, 4)} % 899 + 1)::VARCHAR || ' ' || {_pick(masks.STREETS, _byte('h', 4))} || ', ' || {_pick(masks.CITIES, _byte('h', 5))}",
+        "organization": f"{_cap(_pick(names.SURNAMES, _number('h', 0, 8)))} || ' ' || {_pick(masks.FIRMS, _byte('h', 6))}",
+        "obfuscate": obfuscate("v", "h"),
+        "name": _any_name(),
+        "redact": "'[REDACTED]'",
     }
-    return f"SELECT c_custkey, {', '.join(f'{x} AS {m}' for m, x in made.items())} FROM (SELECT *, {uid} AS uid, {card} AS card, {body} AS body FROM (SELECT c_custkey, c_name, {base} FROM customer))"
+    return "CASE m " + "\n  ".join(f"WHEN '{k}' THEN {x}" for k, x in made.items()) + " END"
+
+
+def _any_name() -> str:
+    """The replacement of a name v of one token or more."""
+    head, tail = "lower(regexp_split_to_array(v, '[ \\t\\n]+')[1])", "lower(regexp_split_to_array(v, '[ \\t\\n]+')[-1])"
+    pair, n = fake_name(head, tail, gender(head)), _number(_digest(head, "first"), 0, 8)
+    first = f"CASE {gender(head)} WHEN 'F' THEN {_pick(names.FEMALE, n)} WHEN 'M' THEN {_pick(names.MALE, n)} ELSE {_pick(names.FIRST, n)} END"
+    last = _cap(_pick(names.SURNAMES, _number(_digest(head, "last"), 0, 8)))
+    only = sorted(set(names.SURNAMES) - {x.lower() for x in names.FIRST})
+    return f"CASE WHEN NOT regexp_matches(v, '[ \\t\\n]') THEN CASE WHEN {head} IN ({','.join(map(_q, only))}) THEN {last} ELSE {first} END ELSE {pair} END"
+
+
+def _with_digests(rows: str) -> str:
+    """``rows`` (v, m, ...) with h, uid, card and body."""
+    uid = f"{_chars('h', 0, 1, '23456789')} || {_digits('h', 1, 10)}"
+    body = f"lpad(({_byte('h', 0)} % 35 + 1)::VARCHAR, 2, '0') || {_chars('h', 1, 5, masks.UPPER)} || {_digits('h', 6, 4)} || {_chars('h', 10, 1, masks.UPPER)} || {_chars('h', 11, 1, '123456789' + masks.UPPER)} || 'Z'"
+    return f"SELECT *, {uid} AS uid, '4' || {_digits('h', 0, 14)} AS card, {body} AS body FROM (SELECT *, sha256('{SALT}:' || m || ':' || lower(v)) AS h FROM ({rows}))"
+
+
+def _found(re: str, source: str, key: str, group: int = 0) -> str:
+    """key, s, x, own: where an expression matches, what, and one of its groups. Letters beyond ASCII count as word characters."""
+    t, q = _ascii_words("ATTACHED_NAME"), _q(re)
+    return f"""SELECT {key}, m[k] AS x, own[k] AS own, (list_sum(list_transform(g[1:k], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda y: length(y))), 0))::BIGINT AS s
+  FROM (SELECT {key}, regexp_extract_all(t, {q}) AS m, regexp_extract_all(t, {q}, {group}) AS own, regexp_split_to_array(t, {q}) AS g, unnest(generate_series(1, len(regexp_extract_all(t, {q})))) AS k FROM (SELECT {key}, {t} AS t FROM {source}))"""
+
+
+def _name_spans(source: str, key: str) -> str:
+    """Names after an introduction, and runs of known names apart from those, as rows of ``_spans``."""
+    after = f"(?i)(?:\\s+(?:{'|'.join(names.AFTER_NAMES)}))+$"
+    known = ",".join(map(_q, sorted(names.KNOWN)))
+    return f"""SELECT {key}, 900 AS o, 'PERSON_NAME' AS pattern, 'HIGH' AS severity, a AS start_at, b AS end_at FROM (
+  SELECT {key}, s + length(x) - length(own) AS a, s + length(x) - length(own) + length(regexp_replace(own, {_q(after)}, '')) AS b FROM ({_found(names.TRIGGER, source, key, 1)})) WHERE b - a >= 3
+UNION ALL SELECT {key}, 901, 'PERSON_NAME', 'HIGH', a, b FROM (
+  SELECT {key}, min(s) AS a, max(e) AS b FROM (
+    SELECT *, sum(new) OVER (PARTITION BY {key} ORDER BY s) AS run FROM (
+      SELECT {key}, s, s + length(x) AS e, (s - coalesce(lag(s + length(x)) OVER (PARTITION BY {key} ORDER BY s), -9) > 1)::INT AS new FROM ({_found(names.CAPITALISED, source, key)}) WHERE lower(x) IN ({known})))
+  GROUP BY {key}, run) d
+WHERE NOT EXISTS (SELECT 1 FROM ({_found(names.TRIGGER, source, key, 1)}) t WHERE t.{key} = d.{key} AND length(regexp_replace(own, {_q(after)}, '')) >= 3
+  AND s + length(x) - length(own) < d.b AND d.a < s + length(x) - length(own) + length(regexp_replace(own, {_q(after)}, '')))"""
+
+
+def _person_runs(source: str, key: str) -> str:
+    """What the dictionary detector finds: runs of capitalised words with a known one, as rows of ``_spans``."""
+    known = ",".join(map(_q, sorted(names.KNOWN)))
+    return f"""SELECT {key}, 1000 AS o, 'PERSON' AS pattern, 'HIGH' AS severity, s AS start_at, s + length(x) AS end_at
+FROM ({_found(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b", source, key)}) WHERE len(list_filter(string_split(lower(x), ' '), lambda w: w IN ({known}))) > 0"""
+
+
+_TURNS = "conv AS (SELECT conv_id || ':' || turn AS id, conv_id, turn, text FROM conversations)"
+
+
+def _processed() -> str:
+    """The pipeline over customers: a name, a code, prose that names both, and a balance with noise."""
+    code, mail = "'ABCDE' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || 'F'", "'c' || c_custkey || '@mail.com'"
+    pan = f"{_chars('h', 0, 5, masks.UPPER)} || {_digits('h', 5, 4)} || {_chars('h', 9, 1, masks.UPPER)}"
+    return f"""WITH n AS ({_names()}), c AS (SELECT *, {_digest(code, 'pan')} AS h, min(c_acctbal) OVER () AS lo, max(c_acctbal) OVER () AS hi FROM customer)
+SELECT c_custkey, masked AS "Name", {pan} AS code, 'Customer called about the account of ' || masked || ', mail user' || substr({_digest(mail, 'email')}, 1, 10) || '@example.org' AS notes,
+  greatest(round({_laplace('c_acctbal', 'c_custkey', 'hi - lo', 'noise:c_acctbal')}, 2), 0) AS c_acctbal, c_mktsegment FROM c JOIN n USING (c_custkey)"""
+
+
+def _masked(source: str = "documents", key: str = "doc_id", text: str = "text", more: str = "") -> str:
+    """key, masked_text, pii_count of every row: resolved spans replaced."""
+    method = "CASE o " + " ".join(f"WHEN {i} THEN '{p.method}'" for i, p in enumerate(PATTERNS)) + " ELSE 'name' END"
+    return f"""WITH found AS MATERIALIZED ({_resolved(source, key, text, more)}),
+cut AS (SELECT {key}, start_at, end_at, trim(substr({text}, start_at + 1, end_at - start_at)) AS v, {method} AS m, {text} AS whole, coalesce(lag(end_at) OVER (PARTITION BY {key} ORDER BY start_at), 0) AS after FROM found JOIN {source} USING ({key})),
+put AS (SELECT {key}, start_at, end_at, whole, after, CASE WHEN v = '' THEN substr(whole, start_at + 1, end_at - start_at) ELSE {_replaced()} END AS new FROM ({_with_digests('SELECT * FROM cut')})),
+joined AS (SELECT {key}, string_agg(substr(whole, after + 1, start_at - after) || new, '' ORDER BY start_at) || substr(first(whole), max(end_at) + 1) AS masked_text, count(*) AS n FROM put GROUP BY {key})
+SELECT {key}, coalesce(masked_text, {text}) AS masked_text, coalesce(n, 0)::BIGINT AS pii_count FROM {source} LEFT JOIN joined USING ({key})"""
+
+
+def _rollup() -> str:
+    r = f"found AS MATERIALIZED ({_resolved()})"
+    dims = {"entity_type": "pattern", "severity": "severity", "detector": "'regex'", "action": "'REDACTED'", "total": "'all'"}
+    return f"WITH {r}\n" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {c} AS value, count(*) AS found, count(*) AS masked FROM found GROUP BY ALL" for d, c in dims.items())
+
+
+def _summary() -> str:
+    by = lambda c: f"(SELECT string_agg(x || ':' || n, ',' ORDER BY x) FROM (SELECT {c} AS x, count(*) AS n FROM found GROUP BY ALL))"
+    return f"""WITH found AS MATERIALIZED ({_resolved()})
+SELECT 'text' AS "column", count(*) AS total, {by('pattern')} AS by_type, {by('severity')} AS by_severity, {by("'regex'")} AS by_detector, (SELECT pattern FROM found GROUP BY pattern ORDER BY count(*) DESC, pattern LIMIT 1) AS top_type FROM found"""
+
+
+def vector_text(parts: list[str | int], digits: str, tail: str = "''") -> str:
+    """A text of the pattern table: strings, and numbers of so many digits."""
+    made = " || ".join(_q(x) if isinstance(x, str) else f"lpad(({digits} % {10**x})::VARCHAR, {x}, '0')" for x in parts)
+    return f"{made} || {tail}"
+
+
+def _vectors(vectors: dict[str, list[str | int]]) -> str:
+    """Common table expression vec (id, kind, text): one text of each pattern for each customer."""
+    rows = []
+    for kind, parts in vectors.items():
+        text = vector_text(parts, "n")
+        tail = {"CREDIT_CARD": f"((10 - {luhn('b', 1)} % 10) % 10)::BIGINT::VARCHAR", "GSTIN": gstin("b")}.get(kind)
+        rows.append(f"SELECT c_custkey || ':{kind}' AS id, '{kind}' AS kind, {text} AS text FROM k" if tail is None else f"SELECT c_custkey || ':{kind}' AS id, '{kind}' AS kind, {_q(parts[0])} || b || {tail} AS text FROM (SELECT c_custkey, {vector_text(parts[1:], 'n')} AS b FROM k)")
+    return "WITH k AS (SELECT c_custkey, c_custkey * 7919 AS n FROM customer), vec AS MATERIALIZED (" + "\nUNION ALL ".join(rows) + ")"
+
+
+def _chunks(size: int, overlap: int, snap: int) -> str:
+    """Chunk by chunk: an end moves back to a line end, else to a space; a start moves on to one within the overlap."""
+    last = lambda mark: f"{size} - strpos(reverse(substr(text, a + {size - snap} + 1, {snap})), {mark})"  # noqa: E731  offset from a
+    end = f"CASE WHEN length(text) - a <= {size} THEN length(text) WHEN contains(substr(text, a + {size - snap} + 1, {snap}), chr(10)) THEN a + {last('chr(10)')} + 1 WHEN contains(substr(text, a + {size - snap} + 1, {snap}), ' ') THEN a + {last(chr(39) + ' ' + chr(39))} + 1 ELSE a + {size} END"
+    lap = f"substr(text, e - {overlap} + 1, {overlap})"
+    start = f"CASE WHEN e - {overlap} <= a THEN e WHEN contains({lap}, chr(10)) THEN e - {overlap} + strpos({lap}, chr(10)) WHEN contains({lap}, ' ') THEN e - {overlap} + strpos({lap}, ' ') ELSE e - {overlap} END"
+    return f"""WITH RECURSIVE c AS (
+  SELECT doc_id, text, 0::BIGINT AS chunk, 0::BIGINT AS a, {end.replace('a +', '0 +').replace('- a', '- 0')} AS e FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, chunk + 1, a, {end} AS e FROM (SELECT doc_id, text, chunk, {start} AS a, e AS was FROM c WHERE e < length(text)) WHERE a < length(text))
+SELECT doc_id, chunk, a AS start, (e - a)::BIGINT AS length FROM c"""
+
+
+def _density() -> str:
+    return """WITH v AS (SELECT c_acctbal::DOUBLE AS v FROM customer WHERE c_acctbal IS NOT NULL), r AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * count(*) ** -0.2 AS band FROM v),
+b AS (SELECT least(floor((v - lo) / ((hi - lo) / 2000)), 1999) AS b, count(*) AS k FROM v, r GROUP BY 1),
+p AS (SELECT lo + (hi - lo) * i / 49 AS point FROM range(50) t(i), r)
+SELECT round(point, 6) AS point, round(sum(exp(-0.5 * ((point - (lo + (b + 0.5) * ((hi - lo) / 2000))) / band) ** 2) * k) / (any_value(n) * any_value(band) * sqrt(2 * pi())), 12) AS density FROM p, b, r GROUP BY point"""
+
+
+#: What the rules make of the standard tables' columns, worked out by hand from the samples and counts.
+TYPES = {}
+
+
+def _ids(methods) -> str:
+    """One column for each method, of customers' names; the general replacement, pivoted."""
+    rows = " UNION ALL ".join(f"SELECT c_custkey, c_name AS v, '{m}' AS m FROM customer" for m in methods)
+    made = f"SELECT c_custkey, m, {_replaced()} AS new FROM ({_with_digests(rows)})"
+    return f"SELECT c_custkey, {', '.join(f'max(new) FILTER (m = {_q(m)}) AS {m}' for m in methods)} FROM ({made}) GROUP BY c_custkey"
 
 
 def _names() -> str:
@@ -185,7 +333,7 @@ FROM (SELECT {c}::VARCHAR AS v FROM customer WHERE {c} IS NOT NULL ORDER BY c_cu
     return " UNION ALL ".join([one("c_name", False), one("c_mktsegment", True), one("c_nationkey", True)])
 
 
-def build() -> dict[str, str]:
+def build(ids, vectors) -> dict[str, str]:
     body = "(20000000000 + o_orderkey * 7919)::VARCHAR"
     gst = "'27AAPFU' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') || 'F1Z'"
     pin = "(110001 + c_custkey * 37 % 745117)"
@@ -203,15 +351,27 @@ SELECT round(sum(x * ln(x / y)), 6) AS kl, round((sum(x * ln(2 * x / (x + y))) +
     return {
         "detect_spans": f"SELECT doc_id, pattern, start_at, end_at FROM ({_spans()})",
         "detect_counts_by_pattern": f"SELECT pattern, severity, count(*) AS n FROM ({_spans()}) GROUP BY ALL",
+        "resolved_spans": f"SELECT doc_id, pattern, start_at, end_at FROM ({_resolved()})",
+        "redact_documents": _masked(),
+        "pages_mask": _masked("pages", "page_id", "html"),
+        "manifest_rollup": _rollup(),
+        "column_summary": _summary(),
+        "pattern_vectors": f"{_vectors(vectors)} SELECT kind, id, pattern, start_at, end_at FROM ({_spans('vec', 'id')}) JOIN vec USING (id)",
+        "mask_vectors": f"{_vectors(vectors)} SELECT id, masked_text, pii_count FROM ({_masked('vec', 'id')})",
+        "conversation_mask": f"WITH {_TURNS} SELECT conv_id, turn, masked_text FROM ({_masked('conv', 'id', 'text', _name_spans('conv', 'id'))}) JOIN conv USING (id)",
+        "model_detections": f"WITH {_TURNS} SELECT conv_id, turn, masked_text, pii_count FROM ({_masked('conv', 'id', 'text', _person_runs('conv', 'id'))}) JOIN conv USING (id)",
+        "process_customer": _processed(),
+        "chunk_documents": _chunks(1200, 250, 100),
+        "balance_density": _density(),
         "redact_addresses": f"SELECT doc_id, regexp_replace(text, {_q(ip)}, '[REDACTED]', 'g') AS masked_text FROM documents",
         "luhn_cards": f"SELECT doc_id, digits, {luhn('digits')} % 10 = 0 AS valid FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{{13,19}}')) AS digits FROM documents)",
-        "verhoeff_check": f"SELECT o_orderkey, (({_list(checksum.INVERSE)})[({verhoeff('body', 1)} + 1)::INT])::VARCHAR AS digit, {verhoeff('body')} = 0 AS valid FROM (SELECT o_orderkey, {body} AS body FROM orders)",
+        "verhoeff_check": f"SELECT o_orderkey, (({_list(INVERSE)})[({verhoeff('body', 1)} + 1)::INT])::VARCHAR AS digit, {verhoeff('body')} = 0 AS valid FROM (SELECT o_orderkey, {body} AS body FROM orders)",
         "gstin_check": f"SELECT c_custkey, {gstin('body')} AS digit, {gstin('body')} = 'V' AS valid FROM (SELECT c_custkey, {gst} AS body FROM customer)",
         "confidence_routing": "SELECT CASE WHEN abs(s_acctbal) / 10000 >= 0.8 THEN 'REDACTED' WHEN abs(s_acctbal) / 10000 >= 0.4 THEN 'REVIEW' ELSE 'LOG_ONLY' END AS action, count(*) AS n FROM supplier GROUP BY ALL",
         "profile_customer": _profile(),
         "name_probe": f"SELECT c_mktsegment, round(avg((lower(split_part(cell, ' ', 1)) IN ({','.join(map(_q, sorted(names.KNOWN)))}))::INT), 9) AS name_share FROM (SELECT c_mktsegment, CASE WHEN c_acctbal > 2000 THEN {_full_name()} ELSE c_name END AS cell FROM customer) GROUP BY ALL",
         "pseudonymize_events": f"SELECT event_id, {hmac_id('user_id::VARCHAR')} AS user_id FROM events",
-        "mask_ids": _ids(),
+        "mask_ids": _ids(ids),
         "mask_obfuscate": f"SELECT c_custkey, {obfuscate('c_name', 'h')} AS masked FROM (SELECT *, {_digest('c_name', 'obfuscate')} AS h FROM customer)",
         "mask_names": _names(),
         "dp_totalprice": f"SELECT o_orderkey, greatest(round({_laplace('o_totalprice', 'o_orderkey', 'hi - lo', 'noise:o_totalprice')}, 2), 0) AS o_totalprice FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders)",

@@ -28,23 +28,34 @@ def scanned(types: dict[str, str]) -> list[str]:
     return [c for c, t in types.items() if t not in ("skip", "numeric", "pseudonymize")]
 
 
+def alike(columns: list[str], config: Config) -> dict[tuple[int, ...], list[str]]:
+    """Columns by the patterns that hints keep from them; one entry where no pattern has hints."""
+    out: dict[tuple[int, ...], list[str]] = {}
+    for c in columns:
+        out.setdefault(config.left_out(c), []).append(c)
+    return out
+
+
 def project(df: DataFrame, key: str, types: dict[str, str], config: Config, model: bool = False) -> DataFrame:
     """One projection: each scanned column's result as ``_m_`` + column, pseudonyms and postal codes in place.
 
     Stateless once ``types`` is fixed, so it serves batches and streams alike. Scanned columns become strings.
     """
-    made = {}
-    for c in scanned(types):
-        text, kind = F.col(f"`{c}`").cast("string"), types[c]
-        if kind == "identity" and not model:
-            trimmed = F.trim(text)
-            event = F.struct(F.lit(spans.TRIGGER_ORD).alias("ord"), F.lit(0).alias("start"), F.length(text).alias("end"), F.substring(F.sha2(F.concat(F.lit(config.salt), trimmed), 256), 1, 12).alias("original"), masks.mask(text, "name", config.salt).alias("masked"), F.lit(1.0).alias("confidence"), F.lit("REDACTED").alias("action"))
-            whole = F.struct(masks.mask(text, "name", config.salt).alias("masked_text"), F.array(event).alias("detections"), F.lit(1).alias("pii_count"))
-            made[f"_m_{c}"] = F.when(trimmed.isNull() | (trimmed == "") | (F.size(spans.raw_spans(text, config.effective(), kind)) > 0), spans.mask_text(text, config, kind, context=True)).otherwise(whole)
-        else:
-            more = F.col(f"`_n_{c}`") if model and kind in ("free_text", "identity", "auto") else None
-            made[f"_m_{c}"] = spans.mask_text(text, config, kind, context=True, with_names=config.names and kind == "free_text", more=more)
-    out = df.withColumns(made)
+    out = df
+    for n, (without, columns) in enumerate(alike(scanned(types), config).items()):
+        # One expression serves all columns, as the elements of an array: the plan does not grow with their number.
+        cells = [
+            F.struct(
+                F.col(f"`{c}`").cast("string").alias("text"), F.lit(types[c] in spans.LOOSE).alias("loose"), F.lit(config.names and types[c] == "free_text").alias("names"),
+                F.lit(types[c] == "identity" and not model).alias("identity"), *([(F.col(f"`_n_{c}`") if types[c] in ("free_text", "identity", "auto") else F.lit(None).cast(spans.SPANS)).alias("more")] if model else []),
+            )
+            for c in columns
+        ]
+        some = lambda flag: any(flag(types[c]) for c in columns)  # noqa: B023, E731
+        named, whole = config.names and some(lambda t: t == "free_text"), not model and some(lambda t: t == "identity")
+        one = lambda x: spans.mask_text(x["text"], config, x["loose"], True, x["names"] if named else False, x["more"] if model else None, without, x["identity"] if whole else None)  # noqa: B023, E731
+        out = out.withColumn(f"_all_{n}", F.transform(F.array(*cells), one))
+        out = out.withColumns({f"_m_{c}": F.get(f"_all_{n}", i) for i, c in enumerate(columns)}).drop(f"_all_{n}")
     for c, t in types.items():
         if t == "pseudonymize":
             out = out.withColumn(c, transforms.pseudonymize(F.col(f"`{c}`").cast("string"), config.salt))
@@ -58,7 +69,7 @@ def project(df: DataFrame, key: str, types: dict[str, str], config: Config, mode
 
 
 def process(df: DataFrame, key: str, config: Config, types: dict[str, str] | None = None, model: Callable[[], detect.Detector] | None = None) -> Result:
-    """Mask a table whose rows ``key`` names. ``model``: a factory of a detector, else dictionaries serve.
+    """Mask a table whose rows ``key`` names. ``model``: a factory of a detector, which also scans masked text again; else dictionaries serve.
 
     Two small profile jobs, one projection written to the shared folder, roll-ups of it, and one to three validation
     passes. All columns stay, with their order; scanned ones are strings. Errors are not swallowed.
@@ -79,7 +90,7 @@ def process(df: DataFrame, key: str, config: Config, types: dict[str, str] | Non
         *[F.col(f"`_m_{c}`.masked_text").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns],
         *[(F.array(F.struct(F.lit(0).alias("start"), F.length(F.col(f"`_m_{c}`.masked_text")).alias("end"))) if c.lower() == "pincode" else validate.provenance(F.col(f"`_m_{c}`.detections"))).alias(f"_p_{c}") for c in columns],
     )
-    clean, passes = validate.validate(step, {c: types[c] for c in columns}, config)
+    clean, passes = validate.validate(step, {c: types[c] for c in columns}, config, model=model)
     clean = clean.select(*[F.col(f"`{c}`") for c in df.columns])
     if events is None:
         events = df.sparkSession.createDataFrame([], "entity_type string, original_value string, original_digest string, masked_value string, confidence double, detector string, severity string, column string, row_key string, action string")

@@ -70,9 +70,12 @@ def write(df: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"no such sink: {kind}")
 
 
-def write_manifest(manifest: dict, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(manifest, f, indent=2, default=str)
+def write_manifest(spark: SparkSession, manifest: dict, path: str) -> None:
+    """One JSON file at ``path``, in any store that Spark can write to."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(json.dumps(manifest, indent=2, default=str).encode()))
+    out.close()
 
 
 def preview(df: DataFrame, n: int = 50) -> DataFrame:

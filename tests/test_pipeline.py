@@ -132,7 +132,8 @@ def test_paste_and_sinks(spark, tmp_path):
     for kind in ("csv", "jsonl", "parquet"):
         io.write(df, f"{tmp_path}/x.{kind}", kind)
         assert [tuple(r) for r in io.read_table(spark, f"{tmp_path}/x.{kind}").select("k", "s").collect()] == [(1, "a,b")]
-    io.write_manifest({"n": 1}, f"{tmp_path}/m.json")
+    io.write_manifest(spark, {"n": 1}, f"file://{tmp_path}/m.json")
+    assert json.loads((tmp_path / "m.json").read_text()) == {"n": 1} and io.preview(df, 5).count() == 1
     p = tmp_path / "c.yaml"
     p.write_text("regex_patterns:\n- {name: X, pattern: 'a(?P<pii>b)', severity: LOW, category: C, faker_method: redact}\ncolumn_hints: {skip_columns: [q]}\nconfidence_routing: {auto_redact: 0.9}\n")
     c = load_config(str(p), "s")
@@ -175,6 +176,105 @@ def test_streams(spark, tmp_path):
     assert {(r["entity_type"], r["n"]) for r in stream.detections_by_window(df, "at", "t", CONFIG).collect()} == {("EMAIL", 1), ("IP_ADDRESS", 1)}
 
 
+def test_streams_need_bounds_for_noise(spark):
+    df = spark.createDataFrame([(i, 100.0 * i) for i in range(50)], "k long, amount double")
+    with pytest.raises(ValueError, match="amount"):
+        stream.mask_stream(df, "k", {"amount": "numeric"}, CONFIG)
+    got = stream.mask_stream(df, "k", {"amount": "numeric"}, CONFIG, {"amount": (0.0, 1000.0)}).collect()
+    assert sum(r["amount"] != 100.0 * r["k"] for r in got) >= 45
+
+
+def test_validator_passes_over_ticket_numbers(spark):
+    df = spark.createDataFrame([(1, "ticket ABC1234567 is open", [])], "k long, t string, _p_t array<struct<start:int,end:int>>")
+    for kind, found in (("free_text", []), ("identity", ["VOTER_ID"])):
+        out, passes = validate.validate(df, {"t": kind}, CONFIG)
+        assert passes[0]["types_found"] == found and (out.first()["t"] == "ticket ABC1234567 is open") == (not found)
+
+
+def wide():
+    """A detector that takes batches and marks every word 'secret', also where masking wrote it. Made here, so that workers get it by value."""
+
+    class Wide:
+        def batch(self, chunks):
+            return [[("username", i, i + 6, 0.9) for i in range(len(c)) if c.startswith("secret", i)] for c in chunks]
+
+        def __call__(self, chunk):
+            return self.batch([chunk])[0]
+
+    return Wide
+
+
+def test_validator_scans_again_with_the_model(spark):
+    df = spark.createDataFrame([(1, "a secret and a secret", [(2, 8)]), (2, None, []), (3, "", [])], "k long, t string, _p_t array<struct<start:int,end:int>>")
+    out, passes = validate.validate(df, {"t": "free_text"}, CONFIG, model=wide())
+    rows = {r["k"]: r["t"] for r in out.collect()}
+    assert rows == {1: "a secret and a [REDACTED]", 2: None, 3: ""} and [p["types_found"] for p in passes] == [["USERNAME"], []] and passes[-1]["is_clean"]
+    r = pipeline.process(spark.createDataFrame([(1, "the secret word of this note")], "k long, comments string"), "k", Config(salt="test", names=False), {"comments": "free_text"}, model=wide())
+    assert r.masked.first()["comments"] == "the [REDACTED] word of this note" and r.manifest["final_clean"]
+
+
+def test_detectors_in_batches():
+    calls, Wide = [], wide()
+
+    class Counted(Wide):
+        def batch(self, chunks):
+            calls.append(len(chunks))
+            return super().batch(chunks)
+
+    texts = ["secret " * 400, None, "no", "x" * 3000 + " secret"]
+    one = [detect.detect_text(t, Wide(), 0.4) for t in texts]
+    assert detect.detect_texts(texts, Counted(), 0.4) == one and max(calls) > 1 and [len(x) for x in one] == [400, 0, 0, 1]
+    assert len(detect.detect_text("secret " * 40_000, Wide(), 0.4)) == 40_000
+    assert not detect.available("no_such_package_here") and detect.detector_factory() is detect.DictionaryDetector
+    if not detect.available():
+        with pytest.raises(RuntimeError):
+            detect.ModelDetector("any")
+
+
+def test_column_hints(spark, tmp_path):
+    p = tmp_path / "h.yaml"
+    p.write_text("regex_patterns:\n- {name: X, pattern: 'q[0-9]+', severity: LOW, category: C, faker_method: redact, column_hint: [Code, ref]}\n- {name: Y, pattern: 'z[0-9]+', severity: LOW, category: C, faker_method: redact, column_hint: note}\n")
+    c = load_config(str(p), "s", names=False)
+    assert [x.name for x in c.applicable("my_CODE")] == ["X"] and [x.name for x in c.applicable("Notes")] == ["Y"] and not c.applicable("other")
+    df = spark.createDataFrame([(1, "q1 z2", "q1 z2", "q1 z2")], "k long, ref_no string, notes string, other string")
+    out = pipeline.process(df, "k", c, {"ref_no": "auto", "notes": "auto", "other": "auto"}).masked.first()
+    assert tuple(out)[1:] == ("[REDACTED] z2", "q1 [REDACTED]", "q1 z2")
+
+
+def test_containment_of_long_values(spark):
+    raw = spark.createDataFrame([(1, "12 High Street Old Town North Hill"), (2, "a b c d e"), (3, "Asha Rao")], "k long, address string")
+    new = spark.createDataFrame([(1, "sent to 12 high street, nowhere", "x"), (2, "goods at 12 High  Street Old Town North Hill.", "12 high street old town north hill"), (3, "a b c d f", "asha rao")], "k long, n1 string, n2 string")
+    assert {(r["value"], r["n"]) for r in audit.containment(raw, new, "k", ["address"]).collect()} == {("12 high street old town north hill", 2), ("asha rao", 1)}
+
+
+def test_encoders_and_report(spark):
+    raw = spark.createDataFrame([(1, "plain words", 1.0), (2, "other thing", 2.0), (3, "", 3.0)], "k long, s string, x double")
+    new = raw.withColumn("s", F.when(F.col("k") == 1, "plain words").otherwise(F.lit("qqq")))
+    got = {r["k"]: r["likeness"] for r in metrics.encoded_likeness(raw.join(new.select("k", F.col("s").alias("t")), "k"), "s", "t").collect()}
+    assert abs(got[1] - 1) < 1e-9 and got[2] < 0.3 and got[3] is None
+    rep = metrics.report(raw, new, "k", encoder=metrics.HashingEncoder)
+    assert 0.4 < rep["text"][0]["cosine"] < 0.7 and rep["numeric"][0]["utility"] == 1.0
+
+
+def test_rare_categories_are_one_class(spark):
+    src = spark.range(1000).select("id", F.when(F.col("id") % 2 == 0, "often").otherwise(F.concat(F.lit("v"), "id")).alias("c"))
+    m = synth.fit(src, "id", categories=1)
+    assert m.categorical["c"][0] == ["often", synth.OTHER]
+    out = synth.draw(spark, m, 2000).collect()
+    assert abs(np.mean([r["c"] == synth.OTHER for r in out]) - 0.5) < 0.05
+
+
+def test_long_cells_take_linear_time(spark):
+    """4000 matches in one cell: what adds up all lengths anew for each would run for minutes."""
+    from cloakspark.functions import spans
+
+    n = 4000
+    text = "10.0.0.1 and " * n
+    df = spark.createDataFrame([(1, text)], "k long, t string")
+    got = df.select(spans.mask_text(F.col("t"), Config(salt="s", patterns=tuple(p for p in PATTERNS if p.name in ("IP_ADDRESS", "EMAIL"))))["pii_count"]).first()[0]
+    assert got == n
+
+
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
