@@ -22,9 +22,10 @@ END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\n</s>", b"\n<s
 ORDER = 3
 #: Tokens that a counting task holds at most, tokens scored at a time, characters for which one shard is made, the share
 #: of documents (and their least number) in which common words are sought, and how many may be called hot and common.
-CHUNK, PART, SHARD_CHARS, SHARE, LEAST, HOT, COMMON = 1_600_000, 400_000, 8_000_000, 1e-4, 2000, 100_000, 65_536
-#: What a row of the merge holds: sums of a word, of a context of hot words, or how many entries occur once to four times.
-WORD, CONTEXT, TIMES = 0, 1, 2
+CHUNK, PART, SHARD_CHARS, SHARE, LEAST, HOT, COMMON = 2_000_000, 400_000, 12_000_000, 1e-4, 2000, 100_000, 65_536
+#: What a row of the merge holds: sums of a word, of a context of hot words, of what follows a hot word, or how many entries
+#: occur once to four times.
+WORD, CONTEXT, AFTER, TIMES = 0, 1, 2, 3
 #: A context of one n-gram that occurs once: total, followers seen once, twice, more.
 ONCE = (1, 1, 0, 0)
 
@@ -242,33 +243,35 @@ class Model:
         return out
 
     def words(self, w: np.ndarray) -> np.ndarray:
-        """c, cc, tot, once, twice, more of each word."""
+        """How often each word occurs, and after how many others."""
         u, back = np.unique(w, return_inverse=True)
-        return self._find("words", _spread(u, self.meta["shards"]), u, 6)[back]
+        return self._find("words", _spread(u, self.meta["shards"]), u, 2)[back]
+
+    def contexts(self, kind: str, hot_kind: str, last: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Total, followers once, twice, more of contexts that end in the words ``last``."""
+        u, at, back = np.unique(key, return_index=True, return_inverse=True)
+        warm, out = _among(last[at], self.hot), np.zeros((len(u), 4), np.int64)
+        for name, some, by in ((kind, ~warm, last[at]), (hot_kind, warm, u)):
+            out[some] = self._find(name, _spread(by[some], self.meta["shards"]), u[some], 4)
+        return out[back]
 
     def logs(self, z: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 of the model's and of the base probability of each word, and its count."""
         m, shards = self.meta, self.meta["shards"]
-        of_z, of_y = self.words(z), self.words(y)
-        c, cc = of_z[:, 0], of_z[:, 1]
+        c, cc = self.words(z).T
         every, v = max(1, m["pairs"]), m["vocabulary"]
         spare = sum(a * b for a, b in zip(m["d1"], m["kinds"], strict=True)) / every if m["pairs"] else 1.0
         p = np.maximum(cc - _off(cc, m["d1"]), 0) / every + spare / (v + 1)
         yz = _pair(y, z)
         u, at, back = np.unique(yz, return_index=True, return_inverse=True)
         n = self._find("pairs", _shard(y[at], u, self.hot, shards), u, 1)[back, 0]
-        p = _interpolated(n, of_y[:, 2:], m["d2"], p)
+        p = _interpolated(n, self.contexts("after", "afterhot", y, y), m["d2"], p)
         if m["order"] > 2:
             # A pair that was seen is a context too, as no text ends before its end mark; the tables leave out those seen once.
             known = np.concatenate(([False], n[:-1] > 0))
             known[y == START] = m["n"] > 0
             xy = _pair(x, y)
-            u, at, back = np.unique(xy, return_index=True, return_inverse=True)
-            warm = _among(y[at], self.hot)
-            seen = np.zeros((len(u), 4), np.int64)
-            for kind, some, by in (("contexts", ~warm, y[at]), ("hot", warm, u)):
-                seen[some] = self._find(kind, _spread(by[some], shards), u[some], 4)
-            seen = np.where(seen[:, :1] > 0, seen, 0)[back]
+            seen = self.contexts("contexts", "hot", y, xy)
             seen[known & (seen[:, 0] == 0)] = ONCE
             u, at, first = np.unique(_pair(xy, z), return_index=True, return_inverse=True)
             n = self._find("triples", _shard(y[at], yz[at], self.hot, shards), u, 1)[first, 0]
@@ -316,7 +319,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
     top = seen.orderBy(F.desc("n"), "w").limit(max(HOT, COMMON)).collect()  # 100 000 hashes at most
     drop_table(spark, seen)
     hashes = lambda rows: np.unique(np.array([int(np.int64(r["w"]).view(np.uint64)) for r in rows] + [int(START)], np.uint64))
-    hot = hashes(r for r in top[:HOT] if r["n"] > total / shards)
+    hot = hashes(r for r in top[:HOT] if r["n"] > 1.5 * total / shards)
     shared = spark.sparkContext.broadcast(hashes(top[:COMMON]))  # half a MB: words that blobs name by number
 
     def count(batches):
@@ -383,8 +386,8 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
         def times(level: int, counts: np.ndarray) -> None:
             rows.append(pd.DataFrame({"kind": [TIMES], "shard": [level], "key": [0], **{f"v{k}": [int((counts == k + 1).sum())] for k in range(4)}}))
 
-        def sums(kind: int, keys: np.ndarray, first: int, *columns: np.ndarray) -> None:
-            rows.append(pd.DataFrame({"kind": kind, "shard": _spread(keys, shards), "key": keys.view(np.int64), **{f"v{first + i}": c for i, c in enumerate(columns)}}))
+        def sums(kind: int, keys: np.ndarray, *columns: np.ndarray) -> None:
+            rows.append(pd.DataFrame({"kind": kind, "shard": _spread(keys, shards), "key": keys.view(np.int64), **dict(zip(VALUES, columns, strict=False))}))
 
         if order == 3:
             times(3, n)
@@ -392,7 +395,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
             warm = _among(y, hot)
             if warm.any():  # their contexts are spread over shards
                 h, *v = _followers(_pair(x[warm], y[warm]), n[warm])
-                sums(CONTEXT, h, 0, *v)
+                sums(CONTEXT, h, *v)
             k, *v = _followers(_pair(x[~warm], y[~warm]), n[~warm])
             more = v[0] > 1
             if more.any():
@@ -405,23 +408,29 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
         times(2, kinds)
         Table.of(yz[first], kinds).save(folder, f"pairs-{shard}")
         w, *v = _sums(z[first], c, np.ones(len(first), np.int64))
-        sums(WORD, w, 0, *v)
+        sums(WORD, w, *v)
         w, *v = _followers(y[first], kinds)
-        sums(WORD, w, 2, *v)
+        warm = _among(w, hot)
+        sums(AFTER, w[warm], *[c[warm] for c in v])
+        if not warm.all():
+            Table.of(w[~warm], *[c[~warm] for c in v]).save(folder, f"after-{shard}")
         return pd.concat(rows).reindex(columns=COLUMNS).fillna(0).astype({"kind": "int32", **dict.fromkeys(COLUMNS[1:], "int64")})
 
     def gather(pdf: pd.DataFrame) -> pd.DataFrame:
         """Sums of a shard's words or contexts, written as a table; a row of totals of level 1, or those of higher levels."""
         kind, shard = int(pdf.kind.iloc[0]), int(pdf.shard.iloc[0])
-        keys, *values = _sums(pdf.key.to_numpy().view(np.uint64), *[pdf[v].to_numpy() for v in (VALUES if kind == WORD else VALUES[:4])])
+        keys, *values = _sums(pdf.key.to_numpy().view(np.uint64), *[pdf[v].to_numpy() for v in (VALUES[:2] if kind == WORD else VALUES)])
         if kind == CONTEXT:
             more = values[0] > 1
             if more.any():
                 Table.of(keys[more], *[v[more] for v in values]).save(folder, f"hot-{shard}")
             made = [0] * 9
+        elif kind == AFTER:
+            Table.of(keys, *values).save(folder, f"afterhot-{shard}")
+            made = [0] * 9
         elif kind == WORD:
             Table.of(keys, *values).save(folder, f"words-{shard}")
-            c, cc = values[:2]
+            c, cc = values
             made = [1, c.sum(), (c > 0).sum(), cc.sum(), *((cc == k).sum() for k in (1, 2, 3, 4)), (cc > 2).sum()]
         else:
             made = [shard, 0, 0, 0, *(v[0] for v in values), 0]
@@ -442,7 +451,7 @@ def train(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> dict:
     }
 
 
-VALUES = [f"v{i}" for i in range(6)]
+VALUES = [f"v{i}" for i in range(4)]
 COLUMNS = ["kind", "shard", "key", *VALUES]
 TOTALS = ["level", "n", "v", "pairs", "k1", "k2", "k3", "k4", "more"]
 
