@@ -28,13 +28,13 @@ def _kmers(text: Column, shift: Column | int = 0) -> Column:
         def of(g: Column) -> Column:
             def at(x: Column, i: Column) -> Column:
                 inner = [F.get(g, i + j) for j in range(1, K - S)]
-                last = F.get(g, i + K - S)
+                last = F.get(g, i + (K - S))  # null past the end, and so is what follows
                 first_least, last_least = x <= last, last <= x
                 for y in inner:
                     first_least &= x <= y
                 for y in reversed(inner):
                     last_least &= last <= y
-                return F.when(last.isNotNull() & (first_least | last_least), F.shiftleft(piece(i, K), 32).bitwiseOR((i + shift).cast("long")))
+                return F.when(first_least | last_least, F.shiftleft(piece(i, K), 32).bitwiseOR((i + shift).cast("long")))
 
             return F.array_compact(F.transform(g, at))
 
@@ -57,16 +57,20 @@ def placed(text: Column) -> Column:
     return F.when(F.length(text) >= K, _kmers(text)).otherwise(_whole(text))
 
 
-def placed_joined(joined: Column, left: Column, taken: Column, left_placed: Column, right_placed: Column) -> Column:
-    """``placed`` of ``joined``: the first ``left`` code points of a text and the first ``taken`` of another, both placed already.
+def _at(v: Column) -> Column:
+    """Where an anchor starts."""
+    return v.bitwiseAND(0xFFFFFFFF)
 
-    As anchors are free of context, those within either part are known; only k-mers across the seam are looked at.
+
+def joined_parts(joined: Column, left: Column, taken: Column, left_placed: Column, right_placed: Column) -> tuple[Column, Column, Column]:
+    """Anchors of ``joined``, the first ``left`` code points of a text and the first ``taken`` of another, both placed already.
+
+    As anchors are free of context, those within either part are known: the first array's stand, the third's move on by
+    ``left``. Only k-mers across the seam are looked at, for the second.
     """
-    at = lambda v: v.bitwiseAND(0xFFFFFFFF)
     before = F.least(left, F.lit(K - 1))
     seam = F.substring(joined, left - before + 1, before + F.least(taken, F.lit(K - 1)))
-    parts = F.concat(F.filter(left_placed, lambda v: at(v) <= left - K), _kmers(seam, left - before), F.transform(F.filter(right_placed, lambda v: at(v) <= taken - K), lambda v: v + left))
-    return F.when(left + taken >= K, parts).otherwise(_whole(joined))
+    return F.filter(left_placed, lambda v: _at(v) <= left - K), _kmers(seam, left - before), F.filter(right_placed, lambda v: _at(v) <= taken - K)
 
 
 def anchors(text: Column) -> Column:
@@ -85,11 +89,11 @@ def likeness(a: Column, b: Column) -> Column:
     return _let(both, lambda n: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(n / (F.size(a) + F.size(b) - n))).cast("double")
 
 
-def _hex(p: Column) -> Column:
-    """8 digits of each anchor's hash and one of its distance from the one before (the first: from the start), K - S at most."""
+def _hex(p: Column, start: Column | int = 0) -> Column:
+    """8 digits of each anchor's hash and one of its distance from the one before (the first: from ``start``), K - S at most."""
 
     def digits(v: Column, i: Column) -> Column:
-        step = v.bitwiseAND(0xFFFFFFFF) - F.when(i > 0, F.get(p, i - 1).bitwiseAND(0xFFFFFFFF)).otherwise(0)
+        step = _at(v) - F.coalesce(_at(F.get(p, i - 1)), F.lit(start) if isinstance(start, int) else start)
         return F.lpad(F.hex(F.shiftleft(F.shiftrightunsigned(v, 32), 4).bitwiseOR(step.cast("long"))), 9, "0")
 
     return F.lower(F.array_join(F.transform(p, digits), ""))
@@ -124,7 +128,7 @@ def ranges(spark: SparkSession, d: DataFrame) -> Column:
 
 
 def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, sk, set, next_text, next_sk, next_set: each document with the next by (doc_id, text hash), the last with the first.
+    """doc_id, text, sk, set, fp and the same of the next one as next_...: documents by (doc_id, text hash), after the last the first.
 
     Documents are dealt to ``ranges`` and shuffled once; a window in a range finds the next one. A small table of each
     range's first document, one row a range, says which ones bridge ranges.
@@ -141,10 +145,10 @@ def with_next(spark: SparkSession, docs: DataFrame) -> DataFrame:
     both = F.when(F.col("pb").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("pb").alias("to"), F.lit(1).alias("extra"))))
     dealt = d.select("doc_id", "id", "th", "text", F.explode(both).alias("g")).select("doc_id", "id", "th", "text", "g.to", "g.extra")
     # Anchors are found after the shuffle, which then carries texts alone.
-    dealt = dealt.repartition("to").withColumn("sk", placed(F.col("text"))).withColumn("set", anchor_set(F.col("sk")))
+    dealt = dealt.repartition("to").withColumn("sk", placed(F.col("text"))).withColumn("set", anchor_set(F.col("sk"))).withColumn("fp", _hex(F.col("sk")))
     w = Window.partitionBy("to").orderBy("extra", "id", "th")
-    out = dealt.withColumn("after", F.lead(F.struct("text", "sk", "set")).over(w)).where("extra = 0")
-    return out.select("doc_id", "text", "sk", "set", F.col("after.text").alias("next_text"), F.col("after.sk").alias("next_sk"), F.col("after.set").alias("next_set"))
+    out = dealt.withColumn("after", F.lead(F.struct("text", "sk", "set", "fp")).over(w)).where("extra = 0")
+    return out.select("doc_id", "text", "sk", "set", "fp", *[F.col(f"after.{c}").alias(f"next_{c}") for c in ("text", "sk", "set", "fp")])
 
 
 def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -160,8 +164,14 @@ def fingerprint_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     k = F.floor(F.length("text") / 4).cast("int")
     d = d.withColumn("left", F.length("text") - k).withColumn("taken", F.least(k, F.length("next_text")))
     d = d.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("left")), F.substring("next_text", F.lit(1), F.col("taken"))))
-    d = d.withColumn("esk", placed_joined(F.col("edited"), F.col("left"), F.col("taken"), F.col("sk"), F.col("next_sk")))
+    head, seam, tail = joined_parts(F.col("edited"), F.col("left"), F.col("taken"), F.col("sk"), F.col("next_sk"))
+    d = d.withColumn("head", head).withColumn("seam", seam).withColumn("tail", tail)
+    cut = F.col("left") + F.col("taken") >= K
+    # What either fingerprint says of its part is taken over; only the seam and the first anchor after it are written anew.
+    d = d.withColumn("fresh", F.concat("seam", F.transform(F.slice("tail", 1, 1), lambda v: v + F.col("left")))).withColumn("before", F.coalesce(_at(F.get("head", F.size("head") - 1)), F.lit(0)))
+    text = F.concat(F.substring("fp", F.lit(1), 9 * F.size("head")), _hex(F.col("fresh"), F.col("before")), F.substring("next_fp", F.lit(10), 9 * F.greatest(F.size("tail") - 1, F.lit(0))))
+    d = d.withColumn("edited_set", F.when(cut, anchor_set(F.concat("head", "seam", "tail"))).otherwise(anchor_set(_whole(F.col("edited")))))
     return d.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), _hex(F.col("sk")).alias("fingerprint"),
-        _hex(F.col("esk")).alias("edited_fingerprint"), likeness(F.col("set"), anchor_set(F.col("esk"))).alias("near_edited"), likeness(F.col("set"), F.col("next_set")).alias("near_next"),
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"),
+        F.when(cut, text).otherwise(_hex(_whole(F.col("edited")))).alias("edited_fingerprint"), likeness(F.col("set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("set"), F.col("next_set")).alias("near_next"),
     )
