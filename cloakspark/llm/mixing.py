@@ -49,21 +49,27 @@ def running_sums(spark: SparkSession, df: DataFrame, by: list[str], order: list[
     return rows.join(ends, on).withColumn("total", F.col("total") + F.col("before")).drop("before", "by_part", "part", *[f"by_{c}" for c in by])
 
 
-def targets(sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+def targets(spark: SparkSession, sized: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
     """source, source_size, target: water filling, one row per source; weights repeat over sources in code-point order.
 
     target = min(cap * source_size, level * weight), the level being that at which targets sum to ``share`` of all
-    sizes: the end of sharing excess again and again. The windows run over one pre-aggregated row per source.
+    sizes: the end of sharing excess again and again. Places in the order, and sums up to a source, are running sums
+    over range-sorted partitions, so sources may be as many as hosts.
     """
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    k = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), (k % len(weights) + 1).cast("int")))
-    s = s.withColumn("most", F.col("source_size") * float(cap)).withColumn("full", F.col("most") / F.col("weight"))
-    w = Window.orderBy("full", F.col("source").asc_nulls_last())
-    before, every = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    s = s.withColumn("level", (float(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    s = s.withColumn("line", F.min(F.when(F.col("level") <= F.col("full"), F.struct("full", "level"))).over(every)["level"])
-    return s.select("source", F.col("source_size").cast("long").alias("source_size"), F.least("most", F.coalesce(F.col("line") * F.col("weight"), F.col("most"))).alias("target"))
+    s = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1))
+    s = running_sums(spark, s, [], ["none", "source"], "one", "places")
+    s = s.withColumn("weight", F.element_at(F.array(*map(F.lit, map(float, weights))), ((F.col("total") - 1) % len(weights) + 1).cast("int")))
+    s = s.withColumn("most", F.col("source_size") * float(cap)).withColumn("full", F.col("most") / F.col("weight")).drop("total")
+    order = ["full", "none", "source"]
+    s = running_sums(spark, s, [], order, "most", "most").withColumnRenamed("total", "most_upto")
+    s = write_table(spark, running_sums(spark, s, [], order, "weight", "weights").withColumnRenamed("total", "weight_upto"), "levels")
+    every = s.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    if every["size"] is None:
+        return s.select("source", F.col("source_size").cast("long").alias("source_size"), "most").withColumnRenamed("most", "target")
+    # What is left for sources from this one on, by weight, if all before it are full.
+    level = (float(share) * every["size"] - F.col("most_upto") + F.col("most")) / (every["weight"] - F.col("weight_upto") + F.col("weight"))
+    line = s.where(level <= F.col("full")).agg(F.min(F.struct("full", level.alias("level"))).alias("line")).first()["line"]
+    return s.select("source", F.col("source_size").cast("long").alias("source_size"), F.least("most", F.lit(line["level"]) * F.col("weight") if line else F.col("most")).alias("target"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 0) -> DataFrame:
@@ -72,13 +78,13 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1
     Each source's documents are shuffled by hash and queued ``cap`` times over; a copy's virtual finish time is its
     source's cumulative size divided by the target. All copies are range-sorted by it and taken until the budget, the
     sum of targets, is spent; the rest is what ``taken`` (words, repeats counted) leaves out. Words are runs of other
-    than ASCII white space; a null text has none. Equal rows share one place in the queue's order and are taken alike.
+    than ASCII white space; a null text has none. Equal rows follow each other in the queue; at the cut some of them may be taken once more than others.
     A null source is a source of its own, last in order. An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
     sized = docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text").alias("row_hash"))
     sized = write_table(spark, sized, "sizes")
-    goal = write_table(spark, targets(sized, weights, share, cap), "targets")
+    goal = write_table(spark, targets(spark, sized, weights, share, cap), "targets")
     queue = running_sums(spark, sized, ["source"], ["row_hash", "doc_id"], "size", "queue")
     goal = goal.withColumnRenamed("source", "of")
     queue = write_table(spark, queue.join(goal, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "finish")
@@ -106,10 +112,18 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1
 def take_mix(spark: SparkSession, docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, seed: int = 0) -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` takes them, with their own columns only.
 
-    Texts without words take nothing of the budget and stay once each.
+    Texts without words take nothing of the budget and stay once each. Rows of equal id and text are taken as often as
+    ``mix`` says of all of them together; where they differ, those at the cut, some get one more.
     """
-    from_mix = mix(spark, docs, weights, share, cap, seed).where("size > 0").groupBy(F.col("doc_id").alias("_cs_id"), F.col("row_hash").alias("_cs_hash")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_cs_times"))
+    times = (F.col("taken") / F.col("size")).cast("int")
+    found = mix(spark, docs, weights, share, cap, seed).where("size > 0").groupBy(F.col("doc_id").alias("_cs_id"), F.col("row_hash").alias("_cs_hash"))
+    found = write_table(spark, found.agg(F.min(times).alias("_cs_low"), F.max(times).alias("_cs_high"), (F.sum(times) - F.min(times) * F.count("*")).alias("_cs_more")), "times")
     rows = docs.withColumn("_cs_row", F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text"))
     on = F.col("doc_id").cast("long").eqNullSafe(F.col("_cs_id")) & (F.col("_cs_row") == F.col("_cs_hash"))
-    rows = rows.join(from_mix, on, "left").withColumn("_cs_turn", F.explode(F.array_repeat(F.lit(0), F.coalesce("_cs_times", F.lit(1)))))
-    return rows.select(*docs.columns)
+    same = rows.join(found, on, "left").where("_cs_low IS NULL OR _cs_low = _cs_high").withColumn("_cs_times", F.coalesce("_cs_low", F.lit(1)))
+    cut = rows.join(found.where("_cs_low < _cs_high"), on)  # equal rows at the cut alone
+    k = F.row_number().over(Window.partitionBy("_cs_id", "_cs_hash").orderBy("_cs_row")) - 1
+    gap = F.col("_cs_high") - F.col("_cs_low")
+    cut = cut.withColumn("_cs_times", (F.col("_cs_low") + F.greatest(F.lit(0), F.least(gap, F.col("_cs_more") - k * gap))).cast("int"))
+    both = same.unionByName(cut).withColumn("_cs_turn", F.explode(F.array_repeat(F.lit(0), F.col("_cs_times"))))
+    return both.select(*docs.columns)
