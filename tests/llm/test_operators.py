@@ -278,6 +278,21 @@ def test_mix(spark, docs, rows, empty):
     assert mixing.mix(spark, empty).count() == 0 and mixing.take_mix(spark, empty).count() == 0
 
 
+def test_mix_of_many_sources_and_of_repeated_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), f"host{rng.randrange(90)}" if i % 50 else None) for i in range(900)]
+    rows += [(7000, "the very same words again and again", "host1")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words_of(t))
+    want = brute_targets(sizes, (3, 1, 2), 1.5, 2)
+    got = mixing.mix(spark, docs).collect()
+    assert all(abs(r["target"] - want[r["source"]]) < 1e-6 * (1 + r["target"]) for r in got)
+    out = mixing.take_mix(spark, docs).collect()
+    assert sum(len(words_of(r["text"])) for r in out) == sum(r["taken"] for r in got) <= 1.5 * sum(sizes.values()) + 1e-6
+
+
 # ---------------------------------------------------------------- 5
 
 
