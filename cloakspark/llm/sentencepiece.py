@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Chunks kept with their ids by each worker, their greatest length, and pairs of pieces kept with whether they may meet.
-MEMO, MEMO_CHARS, PAIRS = 700_000, 48, 1_000_000
+#: Chunks kept with their ids by each worker (as many new ones and as many of before), their greatest length, and pairs of pieces kept with whether they may meet.
+MEMO, MEMO_CHARS, PAIRS = 100_000, 48, 1_000_000
 #: The library's kinds of model and of pieces (fixed values of its file format), and what it adds to the least score of an unknown character.
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6
@@ -160,18 +160,22 @@ class Codec:
         mixed = any(re.search("a[^ a]|[^ a]a", re.sub(f"{letter}+", "a", x)) for x in pieces)
         self.chunks = re.compile(r"(?s).+" if not apart else r"\n| *[^ \n]+| +" if mixed else rf"\n| *{letter}+| *(?:(?!{letter})[^ \n])+| +")
         self.memo: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _ids(self, chunk: str) -> bytes:
-        out = array("i")
-        for i in viterbi_stream(chunk, self.lattice):
-            if i >= 0:
-                out.append(i)
-            else:
-                out.extend([self.byte_ids[x] for x in chr(~i).encode()])
-        ids = out.tobytes()
+        """Ids of a chunk that ``memo`` lacks. A full memo becomes ``before``, from which chunks that are met again come back."""
+        if (ids := self.before.get(chunk)) is None:
+            out = array("i")
+            for i in viterbi_stream(chunk, self.lattice):
+                if i >= 0:
+                    out.append(i)
+                else:
+                    out.extend([self.byte_ids[x] for x in chr(~i).encode()])
+            ids = out.tobytes()
         if len(chunk) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
-                self.memo.clear()
+                self.before = self.memo.copy()
+                self.memo.clear()  # stays the same object, which encode looks into
             self.memo[chunk] = ids
         return ids
 
@@ -201,7 +205,7 @@ def encode_decode(docs: DataFrame, model_file: str) -> DataFrame:
     Ids are those of the library for the same file without normalisation; only U+2581, which the library takes for a space,
     is spelt in byte pieces like other characters without a piece, so that decoding is exact. A null text counts as empty
     and has no ids. Rows are independent, repeated ones included; an empty table gives an empty result. Each worker keeps
-    ids of at most MEMO short chunks.
+    ids of at most twice MEMO short chunks.
     """
 
     def of(batches):

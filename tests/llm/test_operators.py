@@ -411,6 +411,15 @@ def test_sentencepiece_ids_are_the_librarys(spark):
     assert len(texts) == 1000 and all(codec.encode(t).tolist() == same.encode(t) for t in texts)
 
 
+def test_sentencepiece_workers_keep_few_chunks():
+    codec, same = sentencepiece.Codec(MODEL_FILE), library()
+    text = " ".join(map(str, range(250_000))) + " the end"
+    ids = codec.encode(text)
+    assert codec.decode(ids) == text and codec.encode(text).tolist() == ids.tolist()
+    assert sum(len(x) for x in vars(codec).values() if isinstance(x, dict)) <= 200_000  # of 250 000 chunks
+    assert codec.encode("7 the end 249999 end").tolist() == same.encode("7 the end 249999 end")
+
+
 def test_sentencepiece_of_odd_strings():
     rng, codec, same = random.Random(6), sentencepiece.Codec(MODEL_FILE), library()
     parts = [*WORDS, " ", "   ", "\n", "\t", "...", "2²³4½", "🤖", "ß", "\u0301", "internationalization", "aaaaaaaa", "</s>", "<0x0A>", "Z͑ͫ", "漢字かな", "_x_", "((("]
