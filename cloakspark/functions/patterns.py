@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 
 @dataclass(frozen=True)
 class Pattern:
-    """``guard``: what every match must contain (a cheap regex); None if nothing cheap is known."""
+    """``guard``: what every match must contain (a cheap regex); None if nothing cheap is known. ``gate``: the same, looked for once for all patterns that share it."""
 
     name: str
     regex: str
@@ -19,38 +19,39 @@ class Pattern:
     lead: int = 0
     skip_if: tuple[str, ...] = ()
     column_hint: tuple[str, ...] | None = None
+    gate: str | None = None
 
 
 _D1, _D4 = "[0-9]", "[0-9]{4}"
 
 # Names, expressions, severities, categories and methods of the 26 patterns, in their order.
 PATTERNS = (
-    Pattern("INDIAN_PAN", r"\b(?:[A-Z][\s-]*){5}(?:[0-9][\s-]*){4}[A-Z]\b", "CRITICAL", "GOVERNMENT_ID", "pan", _D1),
-    Pattern("AADHAAR", r"\b[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}\b", "CRITICAL", "GOVERNMENT_ID", "aadhaar", _D4),
-    Pattern("IFSC_CODE", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", "HIGH", "FINANCIAL", "ifsc", _D1),
-    Pattern("CREDIT_CARD", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b", "CRITICAL", "FINANCIAL", "credit_card", _D4),
-    Pattern("EMAIL", r"\b[a-zA-Z0-9_%+\-]+(?:(?:\.|(?:\s*(?:dot|\(dot\)|\[dot\])\s*))[a-zA-Z0-9_%+\-]+)*\s*(?:@|\(at\)|\[at\])\s*[a-zA-Z0-9\-]+(?:(?:\.|(?:\s*(?:dot|\(dot\)|\[dot\])\s*))[a-zA-Z]{2,7})?\b", "MEDIUM", "CONTACT", "email", r"@|[(\[]at[)\]]"),
-    Pattern("UPI_ID", r"\b[a-zA-Z0-9.\-_]+@(?:ybl|paytm|okhdfcbank|okicici|apl|upi|ibl|axl)\b", "HIGH", "FINANCIAL", "upi_id", "@", skip_if=("EMAIL",)),
-    Pattern("INDIAN_PHONE", r"\b(?:\+91[\s-]?)?(?:0)?[6-9](?:[\s.-]?\d){9}\b", "MEDIUM", "CONTACT", "phone_number", _D1),
-    Pattern("INDIAN_PINCODE", r"\b[1-9][0-9]{5}\b", "LOW", "LOCATION", "pincode", _D4),
-    Pattern("DATE_OF_BIRTH", r"\b(?:0[1-9]|[12]\d|3[01])[/\-](?:0[1-9]|1[0-2])[/\-](?:19|20)\d{2}\b", "MEDIUM", "PERSONAL", "date_of_birth", _D4),
-    Pattern("DATE_OF_BIRTH_ISO", r"\b(?:19|20)\d{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])\b", "MEDIUM", "PERSONAL", "date_of_birth_iso", _D4),
-    Pattern("INDIAN_PASSPORT", r"\b[A-Z][1-9]\d{6}\b", "CRITICAL", "GOVERNMENT_ID", "passport", _D4),
-    Pattern("INDIAN_VEHICLE", r"\b[A-Z]{2}[\s-]?\d{1,2}[\s-]?[A-Z]{1,3}[\s-]?\d{4}\b", "LOW", "PERSONAL", "vehicle_registration", _D4),
-    Pattern("BANK_ACCOUNT", r"\b\d{9,18}\b", "CRITICAL", "FINANCIAL", "bank_account", _D4),
-    Pattern("VOTER_ID", r"\b[A-Z]{3}[0-9]{7}\b", "CRITICAL", "GOVERNMENT_ID", "obfuscate", _D4),
-    Pattern("DRIVING_LICENSE", r"\b[A-Z]{2}[0-9]{2}[ \-]?[0-9]{11}\b", "CRITICAL", "GOVERNMENT_ID", "obfuscate", _D4),
-    Pattern("GSTIN", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z]{1}[1-9A-Z]{1}Z[0-9A-Z]{1}\b", "HIGH", "BUSINESS_ID", "gstin", _D4),
-    Pattern("CIN", r"\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b", "HIGH", "BUSINESS_ID", "obfuscate", _D4),
-    Pattern("UDYAM_REG", r"\bUDYAM-[A-Z]{2}-[0-9]{2}-[0-9]{7}\b", "HIGH", "BUSINESS_ID", "obfuscate", _D4),
-    Pattern("TAN", r"\b[A-Z]{4}[0-9]{5}[A-Z]{1}\b", "HIGH", "BUSINESS_ID", "obfuscate", _D4),
-    Pattern("EPFO_UAN", r"\b10[0-9]{10}\b", "CRITICAL", "GOVERNMENT_ID", "obfuscate", _D4),
-    Pattern("IP_ADDRESS", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "LOW", "NETWORK", "obfuscate", _D1),
-    Pattern("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}(?:[0-9A-Fa-f]{2})\b", "LOW", "NETWORK", "obfuscate", "[:-]"),
-    Pattern("VEHICLE_CHASSIS_VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", "LOW", "ASSET", "obfuscate"),
-    Pattern("SWIFT_BIC", r"\b[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\b", "MEDIUM", "FINANCIAL", "obfuscate"),
-    Pattern("TRANSACTION_REF", r"\b(?:ORD|FD|TXN|REF|UPI|IMPS|NEFT|RTGS)\d{6,}\b", "HIGH", "FINANCIAL", "transaction_ref", _D4),
-    Pattern("ATTACHED_NAME", r"(?:[-_@:.,/])([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)\b", "HIGH", "PERSONAL", "name", group=1, lead=1),
+    Pattern("INDIAN_PAN", r"\b(?:[A-Z][\s-]*){5}(?:[0-9][\s-]*){4}[A-Z]\b", "CRITICAL", "GOVERNMENT_ID", "pan", r"(?:[0-9][\s-]*){4}[A-Z]", gate=_D1),
+    Pattern("AADHAAR", r"\b[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}\b", "CRITICAL", "GOVERNMENT_ID", "aadhaar", r"[2-9]\d{3}[\s-]?\d{4}[\s-]?\d{4}", gate=_D4),
+    Pattern("IFSC_CODE", r"\b[A-Z]{4}0[A-Z0-9]{6}\b", "HIGH", "FINANCIAL", "ifsc", r"[A-Z]{4}0[A-Z0-9]{6}", gate=_D1),
+    Pattern("CREDIT_CARD", r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12})\b", "CRITICAL", "FINANCIAL", "credit_card", r"[3-6][0-9]{12}", gate=_D4),
+    Pattern("EMAIL", r"\b[a-zA-Z0-9_%+\-]+(?:(?:\.|(?:\s*(?:dot|\(dot\)|\[dot\])\s*))[a-zA-Z0-9_%+\-]+)*\s*(?:@|\(at\)|\[at\])\s*[a-zA-Z0-9\-]+(?:(?:\.|(?:\s*(?:dot|\(dot\)|\[dot\])\s*))[a-zA-Z]{2,7})?\b", "MEDIUM", "CONTACT", "email", r"[@(\[](?:(?<=@)|at[)\]])"),
+    Pattern("UPI_ID", r"\b[a-zA-Z0-9.\-_]+@(?:ybl|paytm|okhdfcbank|okicici|apl|upi|ibl|axl)\b", "HIGH", "FINANCIAL", "upi_id", r"@(?:ybl|paytm|ok|icici|apl|upi|ibl|axl)", skip_if=("EMAIL",)),
+    Pattern("INDIAN_PHONE", r"\b(?:\+91[\s-]?)?(?:0)?[6-9](?:[\s.-]?\d){9}\b", "MEDIUM", "CONTACT", "phone_number", r"[6-9](?:[\s.-]?\d){9}", gate=_D1),
+    Pattern("INDIAN_PINCODE", r"\b[1-9][0-9]{5}\b", "LOW", "LOCATION", "pincode", r"[1-9][0-9]{5}", gate=_D4),
+    Pattern("DATE_OF_BIRTH", r"\b(?:0[1-9]|[12]\d|3[01])[/\-](?:0[1-9]|1[0-2])[/\-](?:19|20)\d{2}\b", "MEDIUM", "PERSONAL", "date_of_birth", r"[0-3]\d[/\-][01]\d[/\-](?:19|20)\d{2}", gate=_D4),
+    Pattern("DATE_OF_BIRTH_ISO", r"\b(?:19|20)\d{2}[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\d|3[01])\b", "MEDIUM", "PERSONAL", "date_of_birth_iso", r"[12][09]\d{2}[-/][01]\d[-/][0-3]\d", gate=_D4),
+    Pattern("INDIAN_PASSPORT", r"\b[A-Z][1-9]\d{6}\b", "CRITICAL", "GOVERNMENT_ID", "passport", r"[A-Z][1-9]\d{6}", gate=_D4),
+    Pattern("INDIAN_VEHICLE", r"\b[A-Z]{2}[\s-]?\d{1,2}[\s-]?[A-Z]{1,3}[\s-]?\d{4}\b", "LOW", "PERSONAL", "vehicle_registration", r"\d[\s-]?[A-Z]{1,3}[\s-]?\d{4}", gate=_D4),
+    Pattern("BANK_ACCOUNT", r"\b\d{9,18}\b", "CRITICAL", "FINANCIAL", "bank_account", r"\d{9}", gate=_D4),
+    Pattern("VOTER_ID", r"\b[A-Z]{3}[0-9]{7}\b", "CRITICAL", "GOVERNMENT_ID", "obfuscate", r"[A-Z]{3}[0-9]{7}", gate=_D4),
+    Pattern("DRIVING_LICENSE", r"\b[A-Z]{2}[0-9]{2}[ \-]?[0-9]{11}\b", "CRITICAL", "GOVERNMENT_ID", "obfuscate", r"[0-9]{2}[ \-]?[0-9]{11}", gate=_D4),
+    Pattern("GSTIN", r"\b[0-9]{2}[A-Z]{5}[0-9]{4}[A-Z]{1}[1-9A-Z]{1}Z[0-9A-Z]{1}\b", "HIGH", "BUSINESS_ID", "gstin", r"[0-9]{2}[A-Z]{5}[0-9]{4}", gate=_D4),
+    Pattern("CIN", r"\b[LU][0-9]{5}[A-Z]{2}[0-9]{4}[A-Z]{3}[0-9]{6}\b", "HIGH", "BUSINESS_ID", "obfuscate", r"[LU][0-9]{5}[A-Z]{2}", gate=_D4),
+    Pattern("UDYAM_REG", r"\bUDYAM-[A-Z]{2}-[0-9]{2}-[0-9]{7}\b", "HIGH", "BUSINESS_ID", "obfuscate", r"UDYAM-", gate=_D4),
+    Pattern("TAN", r"\b[A-Z]{4}[0-9]{5}[A-Z]{1}\b", "HIGH", "BUSINESS_ID", "obfuscate", r"[A-Z]{4}[0-9]{5}[A-Z]", gate=_D4),
+    Pattern("EPFO_UAN", r"\b10[0-9]{10}\b", "CRITICAL", "GOVERNMENT_ID", "obfuscate", r"10[0-9]{10}", gate=_D4),
+    Pattern("IP_ADDRESS", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "LOW", "NETWORK", "obfuscate", r"[0-9]\.[0-9]{1,3}\.[0-9]", gate=_D1),
+    Pattern("MAC_ADDRESS", r"\b(?:[0-9A-Fa-f]{2}[:-]){5}(?:[0-9A-Fa-f]{2})\b", "LOW", "NETWORK", "obfuscate", r"[:-][0-9A-Fa-f]{2}[:-]"),
+    Pattern("VEHICLE_CHASSIS_VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", "LOW", "ASSET", "obfuscate", r"[A-HJ-NPR-Z0-9]{17}"),
+    Pattern("SWIFT_BIC", r"\b[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?\b", "MEDIUM", "FINANCIAL", "obfuscate", r"[A-Z]{6}[A-Z0-9]{2}"),
+    Pattern("TRANSACTION_REF", r"\b(?:ORD|FD|TXN|REF|UPI|IMPS|NEFT|RTGS)\d{6,}\b", "HIGH", "FINANCIAL", "transaction_ref", r"[DNFIST]\d{6}", gate=_D4),
+    Pattern("ATTACHED_NAME", r"(?:[-_@:.,/])([A-Z][a-z]+(?:\s[A-Z][a-z]+)*)\b", "HIGH", "PERSONAL", "name", r"[-_@:.,/][A-Z][a-z]", group=1, lead=1),
 )
 
 #: Our own additions, off by default: local phone numbers and quoted secrets.

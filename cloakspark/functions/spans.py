@@ -15,6 +15,7 @@ from cloakspark.functions.patterns import NER_METHODS, NER_SEVERITY, PINCODE_CON
 #: prio, neg (minus the length), ord and start sort spans by precedence; ord names the pattern.
 FIELDS = "prio int, neg int, ord int, start int, end int, text string, confidence double"
 SPANS = f"array<struct<{FIELDS.replace(' int', ':int').replace(' string', ':string').replace(' double', ':double')}>>"
+MATCHES = "array<struct<ord:int,lead:int,m:array<string>,own:array<string>,runs:array<string>>>"
 TRIGGER_ORD, DICTIONARY_ORD, NER_ORD = 900, 901, 1000
 PERSON = Pattern("PERSON_NAME", names.TRIGGER, "HIGH", "PERSONAL", "name")
 #: Column types whose cells are prose or of unknown content.
@@ -27,47 +28,52 @@ def _none() -> Column:
     return F.array().cast(SPANS)
 
 
-def _matches(text: Column, p: Pattern, order: int) -> Column:
-    """One pattern's matched strings, with what ``_placed`` needs to find their offsets; null where the guard rules them out."""
-    found = F.regexp_extract_all(text, F.lit(p.regex), F.lit(0))
-    found = F.when(text.rlike(p.guard), found) if p.guard else found
-    return F.struct(F.lit(order).alias("ord"), F.lit(p.regex).alias("regex"), F.lit(p.group).alias("group"), F.lit(p.lead).alias("lead"), found.alias("m"))
+def _matches(text: Column, p: Pattern, order: int, unless: Sequence[Pattern] = ()) -> Column:
+    """One pattern's matched strings, with what ``_placed`` needs to find their offsets; null where there are none or one of ``unless`` matches.
+
+    ``runs`` are the matches again, each with the text since the one before. All expressions are literals, so that none is compiled anew for a row.
+    """
+
+    def made(m: Column) -> Column:
+        some = reduce(lambda a, b: a & b, [~text.rlike(b.regex) for b in unless], F.size(m) > 0)
+        runs = F.regexp_extract_all(text, F.lit(rf"\G[\s\S]*?(?:{p.regex})"), F.lit(0))
+        own = m if p.group == 0 else F.regexp_extract_all(text, F.lit(p.regex), F.lit(p.group))
+        return F.when(some, F.struct(F.lit(order).alias("ord"), F.lit(p.lead).alias("lead"), m.alias("m"), own.alias("own"), runs.alias("runs")))
+
+    found = let(F.regexp_extract_all(text, F.lit(p.regex), F.lit(0)), made)
+    return F.when(text.rlike(p.guard), found) if p.guard else found
 
 
-def _placed(text: Column, prio: int, confidence: float):
-    """From matches to spans. Offsets come from the lengths of matches and of the gaps between them."""
+def _placed(prio: int, confidence: float):
+    """From matches to spans. Offsets come from the lengths of runs and of the matches at their ends."""
 
     def of(x: Column) -> Column:
         total = lambda a: F.aggregate(a, F.lit(0), lambda p, q: p + q)
-        own = F.when(x["group"] == 0, x["m"]).otherwise(F.regexp_extract_all(text, x["regex"], x["group"]))
-
-        def spans(gaps: Column) -> Column:
-            sizes = F.transform(F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("g"), F.transform(x["m"], lambda m: F.length(m)).alias("m")), lambda z: F.struct(z["g"].alias("g"), (z["g"] + F.coalesce(z["m"], F.lit(0))).alias("n")))
-            return let(sizes, in_blocks)
 
         def in_blocks(sizes: Column) -> Column:
             """Sums of whole blocks first, so that no match adds up all before it."""
-            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / SUMMED).cast("int")), lambda b: total(F.transform(F.slice(sizes, b * SUMMED + 1, SUMMED), lambda z: z["n"])))
+            blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / SUMMED).cast("int")), lambda b: total(F.slice(sizes, b * SUMMED + 1, SUMMED)))
 
-            def placed(blocks: Column) -> Column:
-                def one(t: Column, i: Column) -> Column:
-                    block = F.floor(i / SUMMED).cast("int")
-                    start = total(F.slice(blocks, 1, block)) + total(F.transform(F.slice(sizes, block * SUMMED + 1, i - block * SUMMED), lambda z: z["n"])) + F.get(sizes, i)["g"] + x["lead"]
-                    return let(start, lambda at: F.struct(F.lit(prio).alias("prio"), (-F.length(t)).alias("neg"), x["ord"].alias("ord"), at.alias("start"), (at + F.length(t)).alias("end"), t.alias("text"), F.lit(confidence).alias("confidence")))
+            def one(t: Column, i: Column, before: Column) -> Column:
+                start = before - F.length(F.get(x["m"], i)) + x["lead"]
+                return let(start, lambda at: F.struct(F.lit(prio).alias("prio"), (-F.length(t)).alias("neg"), x["ord"].alias("ord"), at.alias("start"), (at + F.length(t)).alias("end"), t.alias("text"), F.lit(confidence).alias("confidence")))
 
-                return F.transform(own, one)
+            def placed(blocks: Column) -> Column:
+                block = lambda i: F.floor(i / SUMMED).cast("int")
+                return F.transform(x["own"], lambda t, i: one(t, i, total(F.slice(blocks, 1, block(i))) + total(F.slice(sizes, block(i) * SUMMED + 1, i - block(i) * SUMMED + 1))))
 
-            return let(blocks, placed)
+            few = F.transform(x["own"], lambda t, i: one(t, i, total(F.slice(sizes, 1, i + 1))))
+            return F.when(F.size(sizes) <= SUMMED, few).otherwise(let(blocks, placed))
 
-        return let(F.split(text, x["regex"], -1), spans).cast(SPANS)
+        return let(F.transform(x["runs"], lambda r: F.length(r)), in_blocks).cast(SPANS)
 
     return of
 
 
 def find(text: Column, p: Pattern, order: int, prio: int = 0, confidence: float = 1.0) -> Column:
     """All matches of one pattern, leftmost first."""
-    found = F.filter(F.array(_matches(text, p, order)), lambda x: F.size(x["m"]) > 0)
-    return F.flatten(F.transform(found, _placed(text, prio, confidence)))
+    found = F.filter(F.array(_matches(text, p, order)), lambda x: x.isNotNull())
+    return F.flatten(F.transform(found, _placed(prio, confidence)))
 
 
 def in_pincode_context(text: Column, start: Column) -> Column:
@@ -84,17 +90,16 @@ def raw_spans(text: Column, patterns: Sequence[Pattern], kind: str | Column = "a
     """
     at = {p.name: i for i, p in enumerate(patterns)}
     loose = kind if isinstance(kind, Column) else kind in LOOSE
-    found = []
+    found: dict[str | None, list[Column]] = {}
     for i, p in enumerate(patterns):
-        if i in without:
-            continue
-        own = _matches(text, p, i)
-        for b in [patterns[at[n]] for n in p.skip_if if at.get(n, i) < i and at[n] not in without]:
-            own = own.withField("m", F.when(~text.rlike(b.regex), own["m"]))
-        found.append(own)
+        if i not in without:
+            unless = [patterns[at[n]] for n in p.skip_if if at.get(n, i) < i and at[n] not in without]
+            found.setdefault(p.gate, []).append(_matches(text, p, i, unless))
     if not found:
         return _none()
-    spans = F.flatten(F.transform(F.filter(F.array(*found), lambda x: F.size(x["m"]) > 0), _placed(text, 0, 1.0)))
+    groups = [F.filter(F.array(*own), lambda x: x.isNotNull()) for own in found.values()]
+    groups = [F.when(text.rlike(g), own).otherwise(F.array().cast(MATCHES)) if g else own for g, own in zip(found, groups, strict=True)]
+    spans = F.flatten(F.transform(F.concat(*groups), _placed(0, 1.0)))
     spans = F.when(text.isNull(), _none()).otherwise(spans)
 
     def passes(s: Column) -> Column:

@@ -14,7 +14,7 @@ from cloakspark.functions.patterns import PATTERNS, Config
 from cloakspark.operators import audit, detect, manifest, metrics, profile, synth, transforms, validate
 from cloakspark.plans import oracles, pipeline
 from cloakspark.sources import io
-from cloakspark.sources.scratch import shared_folder
+from cloakspark.sources.scratch import shared_folder, spread
 
 CONFIG = Config(salt="catalogue")
 SALT = CONFIG.salt
@@ -30,6 +30,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _dealt(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """Columns of a table, dealt over all cores for expressions that take long on each row."""
+    return spread(_read(spark, sf_dir, table).select(*columns))
+
+
 def _names(customers: DataFrame) -> DataFrame:
     """Customers with an invented full name, as name columns are absent from the standard tables."""
     first, last = pick(names.FIRST, F.col("c_custkey")), F.initcap(pick(names.SURNAMES, (F.col("c_custkey") / 7).cast("long")))
@@ -115,7 +120,7 @@ def _vectors(spark, sf_dir):
         return F.concat(F.lit(parts[0]), body, check[kind](body)) if kind in check else body
 
     rows = [F.struct(F.lit(k).alias("kind"), text(k, p).alias("text")) for k, p in VECTORS.items()]
-    t = _read(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*rows)).alias("r"))
+    t = _dealt(spark, sf_dir, "customer", "c_custkey").select("c_custkey", F.explode(F.array(*rows)).alias("r"))
     return t.select(F.concat_ws(":", "c_custkey", "r.kind").alias("id"), "r.kind", "r.text")
 
 
