@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cloakspark.functions import masks, spans
 from cloakspark.functions.patterns import Config
 from cloakspark.operators import detect, manifest, profile, transforms, validate
-from cloakspark.sources.scratch import stored
+from cloakspark.sources.scratch import spread, stored
 
 
 @dataclass
@@ -77,7 +77,8 @@ def process(df: DataFrame, key: str, config: Config, types: dict[str, str] | Non
     began = time.time()
     types = types or profile.classify(df, key, config)
     loose = [c for c in scanned(types) if types[c] in ("free_text", "identity", "auto") and dict(df.dtypes)[c] == "string"]
-    rows = detect.with_model_spans(df, loose, model) if model and loose else df
+    rows = spread(df)
+    rows = detect.with_model_spans(rows, loose, model) if model and loose else rows
     work = project(rows, key, {c: t for c, t in types.items()}, config, bool(model) and set(scanned(types)) <= set(loose))
     numeric = [c for c, t in types.items() if t == "numeric"]
     changed: list[str] = []

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cloakspark.functions import spans
-from cloakspark.functions.patterns import PATTERNS
-from cloakspark.plans import catalogue
-from cloakspark.sources.scratch import spread
+from cloakspark.functions.patterns import PATTERNS, Config
+from cloakspark.plans import catalogue, pipeline
+from cloakspark.sources.scratch import spread, stored
 
 DATA = "/root/testdata/sf0.1"
 
@@ -50,3 +50,11 @@ def test_offsets_are_those_of_a_plain_search(spark):
     plain = [(o, p) for o, p in enumerate(PATTERNS) if p.name not in ("CREDIT_CARD", "AADHAAR", "GSTIN", "UPI_ID")]
     want = {(i, o, *m.span(p.group), m[p.group]) for i, t in enumerate(texts) for o, p in plain for m in re.finditer(p.regex, t, re.ASCII)}
     assert got == want and len(want) > 400
+
+
+def test_the_pipeline_masks_on_all_cores(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pipeline, "stored", lambda s, df, tag: seen.append(tasks(df)) or stored(s, df, tag))
+    t = spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey", "c_name")
+    out = pipeline.process(t, "c_custkey", Config(salt="test", patterns=PATTERNS[:2]), types={"c_custkey": "skip", "c_name": "auto"}).masked
+    assert seen[0] > 8 and out.count() == 15000
