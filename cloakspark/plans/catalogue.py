@@ -195,12 +195,12 @@ IDS = ("pan", "aadhaar", "ifsc", "credit_card", "phone_number", "pincode", "pass
 
 @_query
 def mask_ids(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").select("c_custkey", *[masks.mask(F.col("c_name"), m, SALT).alias(m) for m in IDS])
+    return _dealt(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", *[masks.mask(F.col("c_name"), m, SALT).alias(m) for m in IDS])
 
 
 @_query
 def mask_obfuscate(spark, sf_dir):
-    return _read(spark, sf_dir, "customer").select("c_custkey", masks.mask(F.col("c_name"), "obfuscate", SALT).alias("masked"))
+    return _dealt(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", masks.mask(F.col("c_name"), "obfuscate", SALT).alias("masked"))
 
 
 @_query
