@@ -205,7 +205,7 @@ def mask_obfuscate(spark, sf_dir):
 
 @_query
 def mask_names(spark, sf_dir):
-    return _names(_read(spark, sf_dir, "customer")).select("c_custkey", names.gender(F.col("full_name")).alias("gender"), masks.mask(F.col("full_name"), "name", SALT).alias("masked"), masks.mask(F.lower("full_name"), "name", SALT).alias("masked_lower"))
+    return _names(_dealt(spark, sf_dir, "customer", "c_custkey")).select("c_custkey", names.gender(F.col("full_name")).alias("gender"), masks.mask(F.col("full_name"), "name", SALT).alias("masked"), masks.mask(F.lower("full_name"), "name", SALT).alias("masked_lower"))
 
 
 @_query
