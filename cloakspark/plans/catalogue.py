@@ -248,7 +248,7 @@ def process_customer(spark, sf_dir):
 
 def _pair(spark, sf_dir):
     """Raw customers, and a version in which those in debt kept their names."""
-    raw = _names(_read(spark, sf_dir, "customer")).select("c_custkey", F.col("full_name").alias("Name"), F.concat(F.col("c_name"), F.lit("@mail.com")).alias("Email"), "c_acctbal", "c_mktsegment")
+    raw = _names(_dealt(spark, sf_dir, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")).select("c_custkey", F.col("full_name").alias("Name"), F.concat(F.col("c_name"), F.lit("@mail.com")).alias("Email"), "c_acctbal", "c_mktsegment")
     masked = raw.withColumn("Name", F.when(F.col("c_acctbal") < 0, F.col("Name")).otherwise(F.concat(F.lit("X"), masks.mask(F.col("Name"), "name", SALT)))).withColumn("Email", masks.mask(F.col("Email"), "email", SALT))
     return raw, masked
 

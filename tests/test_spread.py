@@ -58,3 +58,7 @@ def test_the_pipeline_masks_on_all_cores(spark, monkeypatch):
     t = spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey", "c_name")
     out = pipeline.process(t, "c_custkey", Config(salt="test", patterns=PATTERNS[:2]), types={"c_custkey": "skip", "c_name": "auto"}).masked
     assert seen[0] > 8 and out.count() == 15000
+
+
+def test_audits_have_all_cores(spark):
+    assert all(tasks(t) > 8 for t in catalogue._pair(spark, DATA))
