@@ -42,7 +42,7 @@ def _names(customers: DataFrame) -> DataFrame:
 
 
 def _masked(spark: SparkSession, sf_dir: str, table: str = "documents", key: str = "doc_id", text: str = "text") -> DataFrame:
-    return _read(spark, sf_dir, table).select(key, spans.mask_text(F.col(text), CONFIG).alias(f"_m_{text}"))
+    return _dealt(spark, sf_dir, table, key, text).select(key, spans.mask_text(F.col(text), CONFIG).alias(f"_m_{text}"))
 
 
 @_query

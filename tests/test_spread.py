@@ -62,3 +62,8 @@ def test_the_pipeline_masks_on_all_cores(spark, monkeypatch):
 
 def test_audits_have_all_cores(spark):
     assert all(tasks(t) > 8 for t in catalogue._pair(spark, DATA))
+
+
+def test_masked_documents_have_all_cores(spark):
+    """What manifest_rollup, column_summary, redact_documents and validate_pass_counts read."""
+    assert tasks(catalogue._masked(spark, DATA)) > 8
