@@ -59,20 +59,20 @@ def column_summary(spark, sf_dir):
 
 @_query
 def detect_spans(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.explode(spans.raw_spans(F.col("text"), PATTERNS)).alias("s"))
+    docs = _dealt(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(spans.raw_spans(F.col("text"), PATTERNS)).alias("s"))
     return docs.select("doc_id", spans.attribute(F.col("s.ord"), PATTERNS, "name").alias("pattern"), F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
 
 
 @_query
 def detect_counts_by_pattern(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select(F.explode(F.transform(spans.raw_spans(F.col("text"), PATTERNS), lambda s: s["ord"])).alias("o"))
+    docs = _dealt(spark, sf_dir, "documents", "doc_id", "text").select(F.explode(F.transform(spans.raw_spans(F.col("text"), PATTERNS), lambda s: s["ord"])).alias("o"))
     named = docs.groupBy("o").agg(F.count("*").alias("n"))
     return named.select(spans.attribute(F.col("o"), PATTERNS, "name").alias("pattern"), spans.attribute(F.col("o"), PATTERNS, "severity").alias("severity"), "n")
 
 
 @_query
 def resolved_spans(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.explode(spans.resolve(spans.raw_spans(F.col("text"), PATTERNS))).alias("s"))
+    docs = _dealt(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(spans.resolve(spans.raw_spans(F.col("text"), PATTERNS))).alias("s"))
     return docs.select("doc_id", spans.attribute(F.col("s.ord"), PATTERNS, "name").alias("pattern"), F.col("s.start").cast("long").alias("start_at"), F.col("s.end").cast("long").alias("end_at"))
 
 
@@ -84,19 +84,19 @@ def redact_documents(spark, sf_dir):
 @_query
 def redact_addresses(spark, sf_dir):
     one = Config(salt=SALT, patterns=tuple(replace(p, method="redact") for p in PATTERNS if p.name == "IP_ADDRESS"))
-    return _read(spark, sf_dir, "documents").select("doc_id", spans.mask_text(F.col("text"), one)["masked_text"].alias("masked_text"))
+    return _dealt(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", spans.mask_text(F.col("text"), one)["masked_text"].alias("masked_text"))
 
 
 @_query
 def conversation_mask(spark, sf_dir):
-    t = _read(spark, sf_dir, "conversations")
+    t = _dealt(spark, sf_dir, "conversations", "conv_id", "turn", "text")
     return t.select("conv_id", "turn", spans.mask_text(F.col("text"), CONFIG, with_names=True)["masked_text"].alias("masked_text"))
 
 
 @_query
 def pages_mask(spark, sf_dir):
     r = spans.mask_text(F.col("html"), CONFIG)
-    return _read(spark, sf_dir, "pages").select("page_id", r.alias("r")).select("page_id", "r.masked_text", F.col("r.pii_count").cast("long").alias("pii_count"))
+    return _dealt(spark, sf_dir, "pages", "page_id", "html").select("page_id", r.alias("r")).select("page_id", "r.masked_text", F.col("r.pii_count").cast("long").alias("pii_count"))
 
 
 #: A text of each pattern: numbers stand for so many digits of the customer's key. Cards and tax numbers get a check digit.

@@ -25,7 +25,7 @@ def test_one_row_group_goes_to_all_cores(spark):
     assert tasks(spread(spark.range(3))) == 1
 
 
-@pytest.mark.parametrize("name", ["pattern_vectors", "mask_vectors", "mask_ids", "mask_names"])
+@pytest.mark.parametrize("name", ["pattern_vectors", "mask_vectors", "mask_ids", "mask_names", "pages_mask"])
 def test_queries_have_all_cores(spark, name):
     assert tasks(entry.queries()[name](spark, DATA)) > 8
 
